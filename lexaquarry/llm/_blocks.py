@@ -10,7 +10,16 @@ import pyarrow.compute as pc
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SEGMENT = 1 << 20
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+class Kept(dict):
+    """A cache of one process; it travels to executors empty."""
+
+    def __reduce__(self):
+        return Kept, ()
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = Kept()
 
 
 def powers(n: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
