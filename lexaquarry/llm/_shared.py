@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
@@ -57,5 +59,16 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+class Shared:
+    """A broadcast of any object of this package, classes by value, so executors need not have the package."""
+
+    def __init__(self, spark: SparkSession, x):
+        self.bytes = spark.sparkContext.broadcast(cloudpickle.dumps(x))
+
+    @property
+    def value(self):
+        return pickle.loads(self.bytes.value)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
