@@ -99,7 +99,7 @@ def assign_shards(rows: DataFrame, key: str, shards: list[str] = SHARDS, vnodes:
     spread = F.broadcast(bounds.filter("low <= high").withColumn("slot", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright("high", shift)))).select("slot", "arc", "low", "high"))
     on = placed.withColumn("slot", F.shiftright("h", shift)).join(spread, "slot").filter("h between low and high").drop("slot", "low", "high")
     # ranks: equal keys share one, so dense; a key's arc begins behind the previous point
-    turned = F.when(F.col("h") > starts[-1], F.col("h") - RING).otherwise(F.col("h"))
+    turned = F.when(F.col("h") > starts[-1], F.col("h") - F.lit(RING - 1) - 1).otherwise(F.col("h"))  # RING itself is no bigint
     ranked = materialize(on.withColumn("rank", F.dense_rank().over(Window.partitionBy("arc").orderBy(turned, F.col("k").asc_nulls_first())) - 1), "ranks")
     counts = {r[0]: r[1] + 1 for r in ranked.groupBy("arc").agg(F.max("rank")).collect()}
     plan = settle(points, counts, slack)
