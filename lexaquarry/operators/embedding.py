@@ -97,14 +97,17 @@ def search_text(content: Column, context: Column) -> Column:
 Contextualizer = Callable[[dict, list[tuple[str, str]]], list[str]]
 
 
-def _contexts(key, table: pa.Table, hook: Contextualizer) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
-    record = {c: rows[0][c] for c in ("ref", "kind", "title", "body_text")}
-    prefixes = hook(record, [(r["heading"], r["content"]) for r in rows])
-    if len(prefixes) != len(rows):
-        raise ValueError(f"record {record['ref']!r}: {len(prefixes)} contexts for {len(rows)} sections")
-    clean = ["" if not x.strip(WHITE) else x for x in prefixes]
-    return pa.table({"ref": [r["ref"] for r in rows], "chunk_index": pa.array([r["chunk_index"] for r in rows], pa.int32()), "context_prefix": clean})
+def _contexts(hook: Contextualizer) -> Callable:
+    def of_record(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
+        record = {c: rows[0][c] for c in ("ref", "kind", "title", "body_text")}
+        prefixes = hook(record, [(r["heading"], r["content"]) for r in rows])
+        if len(prefixes) != len(rows):
+            raise ValueError(f"record {record['ref']!r}: {len(prefixes)} contexts for {len(rows)} sections")
+        clean = ["" if not x.strip(WHITE) else x for x in prefixes]
+        return pa.table({"ref": [r["ref"] for r in rows], "chunk_index": pa.array([r["chunk_index"] for r in rows], pa.int32()), "context_prefix": clean})
+
+    return of_record
 
 
 def with_context(chunks: DataFrame, records: DataFrame, hook: Contextualizer | None) -> DataFrame:
@@ -112,7 +115,7 @@ def with_context(chunks: DataFrame, records: DataFrame, hook: Contextualizer | N
     if hook is None:
         return chunks.withColumn("context_prefix", F.lit(""))
     rows = chunks.select("ref", "chunk_index", "heading", "content").join(records.select("ref", "kind", "title", "body_text"), "ref")
-    found = rows.groupBy("ref").applyInArrow(partial(_contexts, hook=hook), "ref string, chunk_index int, context_prefix string")
+    found = rows.groupBy("ref").applyInArrow(_contexts(hook), "ref string, chunk_index int, context_prefix string")
     return chunks.join(found, ["ref", "chunk_index"])
 
 
@@ -135,10 +138,13 @@ def _embed(batches: Iterator[pa.RecordBatch], embedder: Embedder, dimension: int
         yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("chunk_index"), pa.array(vectors, pa.list_(pa.float64()))], names=["ref", "chunk_index", "embedding"])
 
 
-def _embed_whole(key, table: pa.Table, embedder, dimension: int) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
-    vectors = _check(embedder.chunks(rows[0]["document"], [r["text"] for r in rows]), rows, dimension)
-    return pa.table({"ref": [r["ref"] for r in rows], "chunk_index": pa.array([r["chunk_index"] for r in rows], pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float64()))})
+def _embed_whole(embedder, dimension: int) -> Callable:
+    def of_record(key, table):
+        rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
+        vectors = _check(embedder.chunks(rows[0]["document"], [r["text"] for r in rows]), rows, dimension)
+        return pa.table({"ref": [r["ref"] for r in rows], "chunk_index": pa.array([r["chunk_index"] for r in rows], pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float64()))})
+
+    return of_record
 
 
 def embed(texts: DataFrame, embedder: Embedder, documents: DataFrame | None = None) -> DataFrame:
@@ -146,7 +152,7 @@ def embed(texts: DataFrame, embedder: Embedder, documents: DataFrame | None = No
     at whole documents."""
     if hasattr(embedder, "chunks") and documents is not None:
         rows = texts.select("ref", "chunk_index", "text").join(documents.select("ref", "document"), "ref")
-        return rows.groupBy("ref").applyInArrow(partial(_embed_whole, embedder=embedder, dimension=embedder.dimension()), VECTORS)
+        return rows.groupBy("ref").applyInArrow(_embed_whole(embedder, embedder.dimension()), VECTORS)
     if hasattr(embedder, "column"):
         return texts.select("ref", "chunk_index", embedder.column(F.col("text")).alias("embedding"))
     return texts.select("ref", "chunk_index", "text").mapInArrow(partial(_embed, embedder=embedder, dimension=embedder.dimension()), VECTORS)

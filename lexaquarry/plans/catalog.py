@@ -359,12 +359,12 @@ def vec_binary_topk(spark, sf_dir):
 
 @query(f"""
 WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.vec_id::VARCHAR AS ref, {_cosine('q.embedding::DOUBLE[]', 'v.embedding::DOUBLE[]')} AS distance FROM embeddings q, embeddings v)
-SELECT query_id, rank - 1 AS rank, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref) AS rank FROM d) WHERE rank <= 5
+SELECT query_id, rank - 1 AS rank, abs(round(distance, 6)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref) AS rank FROM d) WHERE rank <= 5
 """)
 def vec_batch_topk(spark, sf_dir):
     """Every vector as a query: the five nearest of each in one scan."""
     queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return search.nearest_of_many(_vectors(spark, sf_dir), queries, 5).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.round("distance", 6).alias("distance"))
+    return search.nearest_of_many(_vectors(spark, sf_dir), queries, 5).select("query_id", F.col("rank").cast("bigint").alias("rank"), F.abs(F.round("distance", 6)).alias("distance"))
 
 
 @query("SELECT vec_id, i - 1 AS place, round(v / n * 127)::BIGINT AS value FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)")
