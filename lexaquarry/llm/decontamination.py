@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Words, grams, slices
-from ._shared import Shared, materialize, table
+from ._shared import Shared, fresh, materialize, table
 
 WINDOW = 8
 LITERALS = 5
@@ -185,16 +185,42 @@ def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Itera
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(ids[row[at]])], names=["h", "n", "id"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch], verbose: bool = True) -> Iterator[pa.RecordBatch]:
-    """Leaks of each (doc_id, text, item_ids, item_texts): the same check against the items that share a window."""
+def _verify(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Leaks of each (doc_id, text) in the items (ids, texts) that share a window with it."""
     for batch in batches:
-        for doc, text, ids, texts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_ids", "item_texts"))):
-            bench = Benchmark(ids, texts)
-            w = canonical(pa.array([text], pa.string()))
-            found = bench.leaks(w, bench.meets(w))
-            if found:
-                cols = list(zip(*((doc, bench.ids[item], *rest) for r, item, *rest in found)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(cols)], names=[x.split()[0] for x in LEAKS.split(", ")])
+        rows = []
+        for doc, text, ids, texts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", *names))):
+            rows += [(doc, ids[item], *rest) for _, item, *rest in _against(text, ids, texts)]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in LEAKS.split(", ")])
+
+
+def _against(text: str | None, ids: list | None, texts: list | None) -> list[tuple]:
+    if text is None or not ids:
+        return []
+    bench, w = Benchmark(ids, texts), canonical(pa.array([text], pa.string()))
+    return bench.leaks(w, bench.meets(w))
+
+
+def _clean_pairs(batches: Iterator[pa.RecordBatch], names: tuple[str, str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ok = [not _against(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", *names)))]
+        yield batch.select(columns).filter(pa.array(ok, pa.bool_()))
+
+
+def _candidates(docs: DataFrame, items: DataFrame, how: str) -> tuple[DataFrame, tuple[str, str]]:
+    """Documents with the items that share a window with their text: windows meet by hash, texts by a hash of theirs, so a
+    text that many documents have is looked at once. Hashes only choose candidates."""
+    items = materialize(items.withColumn("key", F.xxhash64("item_id", "item_text")), "items")
+    lengths = list(range(1, WINDOW + 1))
+    rows = lambda df, name: df.mapInArrow(partial(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", name)
+    ours = rows(items.select(F.col("key").alias("id"), F.col("item_text").alias("text")), "key").distinct()
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    theirs = rows(texts.select(F.xxhash64("text").alias("id"), "text"), "t")
+    meets = theirs.join(ours, ["h", "n"]).select("t", "key").distinct()
+    t, ids, bodies = (fresh(docs, x) for x in ("t", "item_ids", "item_texts"))
+    lists = meets.join(items, "key").groupBy(F.col("t").alias(t)).agg(F.array_sort(F.collect_list(F.struct("item_id", "item_text"))).alias("x")).select(t, F.col("x.item_id").alias(ids), F.col("x.item_text").alias(bodies))
+    return docs.join(lists, F.xxhash64(F.col("text").cast("string")) == F.col(t), how).drop(t), (ids, bodies)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -214,8 +240,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: in
     """(doc_id, item_id, doc_word, item_word, words, verbatim, changed_slots): the longest leak of each document and item,
     in template words; of equally long ones the first.
 
-    Null texts leak nothing; documents with a null doc_id are reported under null (on the shuffled path they are left
-    out); null item_ids likewise. Repeated rows of a document give repeated rows here, repeated items give one. Items
+    Null texts leak nothing; documents with a null doc_id are reported under null, null item_ids likewise. A doc_id with
+    several texts leaks by each of them. Repeated rows of a document give repeated rows here, repeated items give one. Items
     without a window of enough literals can't be found. Other columns are ignored; empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -223,24 +249,18 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: in
     bench = _small(items, broadcast_windows)
     if bench is not None:
         return docs.mapInArrow(partial(_find, bench=bench), LEAKS)
-    items = materialize(items.withColumn("key", F.xxhash64("item_id", "item_text")), "items")
-    lengths = list(range(1, WINDOW + 1))
-    ours = items.select(F.col("key").alias("id"), F.col("item_text").alias("text")).mapInArrow(partial(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", "key").distinct()
-    theirs = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), "text").mapInArrow(partial(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", "doc_id")
-    meets = theirs.join(ours, ["h", "n"]).select("doc_id", "key").distinct()
-    lists = meets.join(items, "key").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "item_text"))).alias("x"))
-    pairs = docs.join(lists, "doc_id").select("doc_id", "text", F.col("x.item_id").alias("item_ids"), F.col("x.item_text").alias("item_texts"))
-    return pairs.mapInArrow(_verify, LEAKS)
+    pairs, names = _candidates(docs, items, "inner")
+    return pairs.mapInArrow(partial(_verify, names=names), LEAKS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
-    """The documents without those that leak a benchmark item; all columns and row multiplicities are kept. Documents
-    with a null text stay, and so do those with a null doc_id on the shuffled path."""
+    """The documents without those that leak a benchmark item; all columns and row multiplicities are kept. Each row is
+    judged by its text, whatever its doc_id; null texts stay."""
     bench = _small(_items(benchmark), broadcast_windows)
     if bench is not None:
         return docs.mapInArrow(partial(_clean, bench=bench, column="text"), docs.schema)
-    leaks = benchmark_leaks(docs, benchmark, broadcast_windows).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    pairs, names = _candidates(docs, _items(benchmark), "left")
+    return pairs.mapInArrow(partial(_clean_pairs, names=names, columns=docs.columns), docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Words, blanked, grams, slices, white_words
-from ._shared import drop_path, materialize, new_path, partitions, table
+from ._shared import drop_path, fresh, materialize, new_path, partitions, table
 
 PASSAGE = 50
 GRAM = 25
@@ -283,10 +283,10 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, ba
     return reduce(DataFrame.union, found)
 
 
-def _cut(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], names: list[str], spans_name: str) -> Iterator[pa.RecordBatch]:
     """Texts without their spans: from the first repeated word up to the next kept one."""
     for batch in batches:
-        texts, spans = batch.column("text").to_pylist(), batch.column("__spans")
+        texts, spans = batch.column("text").to_pylist(), batch.column(spans_name)
         gone = np.zeros(len(texts), bool)
         for i in np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False)):
             w = white_words(pa.array([texts[i]], pa.string()))
@@ -308,10 +308,10 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, ba
     """The documents without the passages that a document of a smaller doc_id has; a text of which nothing is left goes.
     Rows that repeat a document are all cut; if a doc_id has several texts, each loses the spans of all. Rows without
     repeats, null ones included, stay as they are, and so do all other columns."""
-    spans = repeated_spans(docs, passage, gram, batches).groupBy("doc_id").agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))
-    spans = spans.withColumnRenamed("doc_id", "__id")
-    joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col("__id"), "left").drop("__id")
-    return joined.mapInArrow(partial(_cut, names=docs.columns), docs.schema)
+    own, spans_name = (fresh(docs, x) for x in ("id", "spans"))
+    spans = repeated_spans(docs, passage, gram, batches).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(spans_name))
+    joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col(own), "left").drop(own)
+    return joined.mapInArrow(partial(_cut, names=docs.columns, spans_name=spans_name), docs.schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
