@@ -5,6 +5,8 @@ The queries read whole tables; documents, conversations and embeddings stand for
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -529,7 +531,7 @@ def snapshot_search(spark, sf_dir):
     from ..sources.snapshot import Snapshot
 
     rows = documents(spark, sf_dir).unionByName(adapters.from_conversations(table(spark, sf_dir, "conversations")), allowMissingColumns=True)
-    path = f"{scratch.folder(spark)}/index-{abs(hash((sf_dir, id(rows)))):x}"
+    path = f"{scratch.folder(spark)}/index-{uuid.uuid4().hex[:12]}"
     build.rebuild(spark, path, rows, build.BuildOptions(embedding.Fixture(dimension=32), policy=chunking.Late(4 * WINDOW, 0, OVERLAP)))
     hits = Snapshot(spark, path).search(TEXT, embedding.Fixture(dimension=32), K)
     return hits.select("chunk_id", "ref", "kind", "heading", F.round("score", 6).alias("score"), F.array_join(F.array_sort(F.map_keys("provenance")), ",").alias("arms"))

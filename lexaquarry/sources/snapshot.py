@@ -116,10 +116,15 @@ class Snapshot:
         return rows.select(*columns).orderBy("ref", "chunk_index", "chunk_id")
 
     def _payload(self, hits: DataFrame, keep: list[str]) -> DataFrame:
-        """Payload of a few hundred hits: the big tables are only filtered by their ids."""
-        few = F.broadcast(hits)  # at most the pool of a search, 250 rows
-        rows = self.chunks().select("chunk_id", "ref", "heading", "content").join(few, "chunk_id")
-        return self.table("records").select("ref", "kind", "title", "source_ref", "metadata").join(F.broadcast(rows), "ref").select("chunk_id", "ref", "kind", "title", "source_ref", "heading", "content", "metadata", *keep)
+        """Payload of the hits of a search, 250 at most. Their ids, then their refs, become filters of the scans: both tables
+        are sorted by them, so a few row groups are read, whatever the size of the index."""
+        rows = hits.collect()
+        few = self.spark.createDataFrame(rows, hits.schema)
+        found = self.chunks().select("chunk_id", "ref", "heading", "content").filter(F.col("chunk_id").isin([r.chunk_id for r in rows]))
+        refs = [r.ref for r in found.select("ref").distinct().collect()]
+        records = self.table("records").select("ref", "kind", "title", "source_ref", "metadata").filter(F.col("ref").isin(refs))
+        out = found.join(F.broadcast(few), "chunk_id").join(F.broadcast(records), "ref")  # at most the pool of a search
+        return out.select("chunk_id", "ref", "kind", "title", "source_ref", "heading", "content", "metadata", *keep)
 
     def _vector_hits(self, vector: list[float], k: int, kinds, dimension: int = 0) -> DataFrame:
         mode, stored = self.vector_setup()
@@ -162,11 +167,14 @@ class Snapshot:
 
     def expand_context(self, chunk_ids, include_parent: bool = False, window: int = 0) -> DataFrame:
         """Surroundings of one chunk, a list of them, or a DataFrame with column chunk_id (see ``context.expand``)."""
+        chunks = self.chunks().drop("kind", "title")
+        fields = self.table("records").select("ref", "kind", "title", "source_ref", "metadata")
         if not isinstance(chunk_ids, DataFrame):
             ids = [chunk_ids] if isinstance(chunk_ids, int) else list(chunk_ids)
             chunk_ids = self.spark.createDataFrame([(i,) for i in ids], "chunk_id bigint")
-        fields = self.table("records").select("ref", "kind", "title", "source_ref", "metadata")
-        rows = context.expand(self.chunks().drop("kind", "title"), chunk_ids, include_parent, window)
+            near = F.col("ref").isin([r.ref for r in chunks.filter(F.col("chunk_id").isin(ids)).select("ref").distinct().collect()])
+            chunks, fields = chunks.filter(near), fields.filter(near)
+        rows = context.expand(chunks, chunk_ids, include_parent, window)
         return rows.join(fields, "ref").orderBy("hit_id", "position")
 
 
