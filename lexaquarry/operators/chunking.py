@@ -7,7 +7,6 @@ with ``sections(record) -> list[Section]``; it travels to the executors by value
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
@@ -184,9 +183,12 @@ def check_lineage(sections: list[Section], ref: str) -> None:
             raise ValueError(f"record {ref!r}: section {i} has parent {x.parent}")
 
 
+CHUNKS = "ref string, kind string, title string, chunk_index int, heading string, content string, parent_index int, is_parent boolean"
+
+
 def _chunk(batches: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32())
-    names = ["ref", "chunk_index", "heading", "content", "parent_index"]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.bool_())
+    names = [x.split()[0] for x in CHUNKS.split(", ")]
     send = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
     rows: list[tuple] = []
     for batch in batches:
@@ -194,8 +196,9 @@ def _chunk(batches: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.Rec
             record = Record(*x)
             sections = policy.sections(record)
             check_lineage(sections, record.ref)
+            parents = {s.parent for s in sections}
             for i, s in enumerate(sections):
-                rows.append((record.ref, i, s.heading, s.body, s.parent))
+                rows.append((record.ref, record.kind, record.title, i, s.heading, s.body, s.parent, i in parents))
                 if len(rows) >= _BATCH:
                     yield send(rows)
                     rows = []
@@ -204,12 +207,14 @@ def _chunk(batches: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.Rec
 
 
 def chunk(records: DataFrame, policy: Policy | None = None) -> DataFrame:
-    """(ref, chunk_index, heading, content, parent_index) of normalized records; parent_index is -1 for roots."""
-    return records.select(*Record._fields).mapInArrow(partial(_chunk, policy=policy_of(policy)), "ref string, chunk_index int, heading string, content string, parent_index int")
+    """(ref, kind, title, chunk_index, heading, content, parent_index, is_parent) of normalized records; parent_index is -1
+    for roots. A record's sections are made in one task, so nothing is shuffled to find the parents."""
+    return records.select(*Record._fields).mapInArrow(partial(_chunk, policy=policy_of(policy)), CHUNKS)
 
 
 def mark_parents(chunks: DataFrame) -> DataFrame:
-    """With ``is_parent``: another chunk of the record names this one. Such chunks are neither embedded nor searched."""
+    """With ``is_parent``, for chunks from elsewhere: another chunk of the record names this one. Such chunks are neither
+    embedded nor searched."""
     from pyspark.sql.window import Window
 
     parents = F.collect_set("parent_index").over(Window.partitionBy("ref"))

@@ -118,10 +118,9 @@ def _plan(gen: _Generation, records: DataFrame, options: BuildOptions, old: Snap
     """Writes the new records' chunks and vectors; gives (chunks, vectors, plan, last id)."""
     policy = chunking.policy_of(options.policy, options.max_tokens, options.overlap, options.max_sections)
     embedder = options.embedder
-    sections = gen.write("steps/sections", embedding.with_context(chunking.mark_parents(chunking.chunk(records, policy)), records, options.contextualizer))
+    sections = gen.write("steps/sections", embedding.with_context(chunking.chunk(records, policy), records, options.contextualizer))
     numbered, last = assign_ids(gen.write, sections, base)
-    chunks = numbered.join(records.select("ref", "kind", "title"), "ref").select(*CHUNK_COLUMNS)
-    chunks = gen.write("steps/chunks", chunks)
+    chunks = gen.write("steps/chunks", numbered.select(*CHUNK_COLUMNS))
     wanted = chunks.filter("not is_parent")
     planned = gen.write("steps/planned", reuse.split(wanted, _old_vectors(old) if old else None))
     old_records = old.table("records") if old else None
