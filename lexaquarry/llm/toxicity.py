@@ -6,10 +6,11 @@ Strings are the words of a sentence between word marks, without accents, punctua
 for letters ("1d10t"); letters that stand alone in a row ("i d i o t") are one word too.
 
 Training sees labelled sentences: all sentences of documents labelled clean, and those of toxic documents that have a
-word for which the labels give evidence; rounds of training then move the evidence (a toxic document's best word is
-toxic, a clean document has none). A Nystrom map of the kernel on landmark words makes the machine linear, and a linear
-machine on this kernel is one table of weights over character P-tuples: scoring a word is a sum of look-ups. The table
-is of fixed size. A sentence scores as its worst word, a document as its worst sentence.
+word for which the labels give evidence; rounds of training then add a toxic document's worst word where clean documents
+lack it, and the clean documents' words that come near, as examples and as landmarks. A Nystrom map of the kernel on
+landmark words makes the machine linear, and a linear machine on this kernel is one table of weights over character
+P-tuples: scoring a word is a sum of look-ups. The table is of fixed size. A sentence scores as its worst word, a document
+as its worst sentence.
 
 At most SAMPLE labelled documents of each class train it; scoring covers every document, in one pass without a shuffle.
 """
@@ -32,11 +33,13 @@ from ._shared import table
 P = 4
 SPAN = 7
 DECAY = 0.6
-LANDMARKS = 160
+LANDMARKS = 256
 SAMPLE = 2500  #: labelled documents of each class that train the machine
 LONGEST = 40  #: letters of a word scored at once; longer words are scored in overlapping parts
 ROUNDS = 4
+LIFT = 4  #: times as frequent in toxic documents as in clean ones, at least
 RIDGE = 1e-2
+FLOOR = 1e-4  #: of the largest eigenvalue; smaller ones are noise
 BITS = 5
 PATTERNS = [(0, *x) for n in range(P - 1, SPAN) for x in combinations(range(1, n + 1), P - 1) if x[-1] == n]
 _CODES = np.full(256, 28, np.uint8)
@@ -170,15 +173,22 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     """A linear machine with squared hinge loss, by Newton steps; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     w = np.zeros(x.shape[1])
-    active = np.ones(len(x), bool)
+    loss = lambda w: RIDGE * w @ w + cost @ np.maximum(0, 1 - y * (x @ w)) ** 2
+    best = loss(w)
     for _ in range(30):
-        a = x[active]
-        c = cost[active][:, None]
-        w = np.linalg.solve(a.T @ (c * a) + RIDGE * np.eye(x.shape[1]), a.T @ (c[:, 0] * y[active]))
-        now = y * (x @ w) < 1
-        if (now == active).all():
+        active = y * (x @ w) < 1
+        a, c = x[active], cost[active]
+        step = np.linalg.solve(a.T @ (c[:, None] * a) + RIDGE * np.eye(len(w)), a.T @ (c * y[active])) - w
+        size = 1.0
+        while size > 1e-4 and loss(w + size * step) >= best:
+            size /= 2
+        if size <= 1e-4:
             break
-        active = now
+        w = w + size * step
+        now = loss(w)
+        if best - now < 1e-6 * best:
+            break
+        best = now
     return w
 
 
@@ -195,37 +205,35 @@ def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float]
     bad = np.bincount(word[y[row]], minlength=len(first))
     good = np.bincount(word[~y[row]], minlength=len(first))
     share = y.sum() / len(y)
-    # words that clean documents lack, in more toxic documents than chance gives any word
-    evidence = bad * -np.log(share)
-    seed = np.flatnonzero((good == 0) & (evidence > np.log(len(first)) + 3))
+    # words that toxic documents have more often than chance gives any word, and clean ones hardly ever
+    many = np.maximum(bad + good, 1)
+    surprise = bad * np.log(np.maximum(bad, 1) / (many * share)) + good * np.log(np.maximum(good, 1) / (many * (1 - share)))
+    lift = (bad / y.sum()) / ((good + 1) / (~y).sum())
+    seed = np.flatnonzero((lift > LIFT) & (surprise > np.log(len(first)) + 3))
     if not len(seed):
         seed = np.argsort(-(bad / y.sum() - good / (~y).sum()), kind="stable")[:1]
     starts, ends = w.starts[first], w.ends[first]
     name = lambda i: w.data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
     order = np.lexsort((w.hash[first], -bad))
     positive = set(seed.tolist())
-    clean = [i for i in order[np.argsort(-good[order], kind="stable")] if good[i] and ends[i] - starts[i] >= P - 1]
-    half = LANDMARKS // 2
-    picked = [i for i in order if i in positive]
-    step = max(1, len(picked) // half)
-    landmarks = Landmarks([name(i) for i in [*picked[::step][:half], *clean[: half // 2], *clean[len(clean) // 2 :: max(1, len(clean) // half)][: half // 2]]])
-    base = landmarks.table.T.astype(np.float64) @ landmarks.table.astype(np.float64)
-    values, vectors = np.linalg.eigh(base)
-    ok = values > 1e-6
-    root = vectors[:, ok] / np.sqrt(values[ok])
+    may = (lift > LIFT) | (good == 0)
+    clean = [i for i in order[np.argsort(-good[order], kind="stable")] if good[i] and i not in positive and ends[i] - starts[i] >= P - 1]
     negative = set(clean[:1500]) | set(clean[:: max(1, len(clean) // 1500)])
-    features: dict[int, np.ndarray] = {}
-
-    def map_(ids: list[int]) -> np.ndarray:
-        new = [i for i in ids if i not in features]
-        if new:
-            for i, x in zip(new, kernel(w.data, starts[new], ends[new], landmarks) @ root):
-                features[i] = x
-        return np.array([features[i] for i in ids])
+    score = np.zeros(len(first), np.float32)
+    half = LANDMARKS // 2
 
     for turn in range(ROUNDS):
         pos, neg = sorted(positive), sorted(negative)
-        x = map_(pos + neg)
+        # landmarks: words of toxic documents, the negative words nearest to them, frequent words
+        picked = [i for i in order if i in positive]
+        hard = sorted(neg, key=lambda i: (-score[i], i))[: half // 2] if turn else clean[:: max(1, len(clean) // (half // 2))]
+        marks = dict.fromkeys([*picked[:: max(1, len(picked) // half)][:half], *hard[: half // 2], *clean[: half // 2]])
+        landmarks = Landmarks([name(i) for i in marks])
+        values, vectors = np.linalg.eigh(landmarks.table.T.astype(np.float64) @ landmarks.table.astype(np.float64))
+        ok = values > FLOOR * values[-1]
+        root = vectors[:, ok] / np.sqrt(values[ok])
+        both = np.array(pos + neg)
+        x = kernel(w.data, starts[both], ends[both], landmarks) @ root
         mark = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = fit_machine(x, mark, np.where(mark > 0, len(neg) / max(1, len(pos)), 1.0))
         alpha = root @ weight[:-1]
@@ -236,9 +244,9 @@ def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float]
         np.maximum.at(best, row, score[word])
         if turn == ROUNDS - 1:
             break
-        negative |= set(np.flatnonzero((good > 0) & (score > -0.9)).tolist())
-        top = np.flatnonzero((score[word] == best[row]) & y[row] & (score[word] > 0) & (good[word] == 0))
-        positive |= set(word[top].tolist())
+        negative |= set(np.flatnonzero((good > 0) & (score > -0.9)).tolist()) - positive
+        top = np.flatnonzero((score[word] == best[row]) & y[row] & (score[word] > 0) & may[word])
+        positive |= set(word[top].tolist()) - negative
     return tab, float(weight[-1]), float(_threshold(best[y], best[~y]))
 
 
@@ -254,20 +262,28 @@ def _threshold(bad: np.ndarray, good: np.ndarray) -> float:
     return middle[ties[np.argmax(np.diff(cuts)[ties])]] if len(cuts) > 1 else float(middle[0])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """Texts and labels that train: of each class the ``sample`` documents that come first by a hash of their id."""
+def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, text, toxic) that train: of each class the ``sample`` documents that come first by a hash of their id."""
     rows = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picks = [rows.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]))  # at most twice the sample, whatever the input
-    got = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(ids, "doc_id").select("doc_id", "text", "toxic").distinct().collect()
-    got.sort(key=lambda r: (r[0], r[1]))
-    return [r[1] for r in got], [r[2] for r in got]
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null").join(ids, "doc_id").select("doc_id", "text", "toxic")
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted({row for b in batches for row in zip(*(c.to_pylist() for c in b.columns))})
+    model = train([r[1] for r in rows], [r[2] for r in rows])
+    if model is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([model[0].tobytes()], pa.binary()), pa.array([model[1]]), pa.array([model[2]])], names=["weights", "bias", "threshold"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
-    """The trained machine as a broadcast, or None where the labels lack a class."""
-    model = train(*labelled(docs, labels, sample))
-    return None if model is None else docs.sparkSession.sparkContext.broadcast(model)
+    """The trained machine as a broadcast, or None where the labels lack a class. It is trained in one task on the sample;
+    the driver only sees the table of weights, of fixed size."""
+    row = labelled(docs, labels, sample).repartition(1).mapInArrow(_train, "weights binary, bias double, threshold double").first()
+    if row is None:
+        return None
+    return docs.sparkSession.sparkContext.broadcast((np.frombuffer(row.weights, np.float32), row.bias, row.threshold))
 
 
 SCORES = "doc_id bigint, score double"
