@@ -180,6 +180,18 @@ def split_section(spark, sf_dir):
     return _split(spark, sf_dir).select("ref", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.array_join(T.words(F.col("content")), " ").alias("words"))
 
 
+@query(f"""
+WITH w AS (SELECT ref, kind, title, source_ref, {_words('body_text')} AS w FROM ({_RECORDS}) WHERE kind = 'fr'), i AS (
+  SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(w) - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT)) AS i FROM w WHERE len(w) > 0
+) SELECT ref, kind, title, source_ref, title AS heading, i AS chunk_index, len(w[i * {WINDOW - OVERLAP} + 1 : i * {WINDOW - OVERLAP} + {WINDOW}]) AS words FROM i
+""")
+def sections_scan(spark, sf_dir):
+    """Chunks of the listed kinds with their record's fields, in order."""
+    fields = records.pick(normal(spark, sf_dir, False), kinds=["fr"]).select("ref", "kind", "title", "source_ref")
+    rows = _split(spark, sf_dir).drop("kind", "title").join(fields, "ref").orderBy("ref", "chunk_index")
+    return rows.select("ref", "kind", "title", "source_ref", "heading", F.col("chunk_index").cast("bigint").alias("chunk_index"), T.count_words(F.col("content")).alias("words"))
+
+
 @query(f"""
 SELECT 'conv-' || conv_id AS ref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, role AS heading, {_trim("replace(text, chr(13) || chr(10), chr(10))")} AS content
 FROM conversations WHERE {_trim("text")} <> ''
@@ -411,6 +423,13 @@ def fts_bm25(spark, sf_dir):
     return _found(fulltext.search(index, TEXT, size, K))
 
 
+@query(_FTS + "SELECT chunk_id FROM s")
+def fts_and_match(spark, sf_dir):
+    """Every chunk that has all terms."""
+    index, size = _fts_index(spark, sf_dir)
+    return fulltext.search(index, TEXT, size, size[0]).select("chunk_id")
+
+
 @query(_FTS + f"SELECT chunk_id, round(s.score, 6) AS score FROM s JOIN documents ON doc_id = chunk_id WHERE lang = 'en' ORDER BY s.score DESC, chunk_id LIMIT {K}")
 def fts_kind_match(spark, sf_dir):
     """T4: kinds filter the hits, not the statistics."""
