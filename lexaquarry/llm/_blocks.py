@@ -20,13 +20,14 @@ class Kept(dict):
 
 
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = Kept()
+_TABLES: dict[str, np.ndarray] = Kept()
 
 
 def powers(n: int, base: int = int(BASE)) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n (an odd base has an inverse)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * SEGMENT)
+        size = 1 << max(16, (n - 1).bit_length())
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
@@ -46,7 +47,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about max_bytes of text; one row is never split."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total = np.cumsum(sizes.astype(np.int64))
@@ -111,11 +112,40 @@ class Words:
             at = to
         return mix(out)
 
+    @classmethod
+    def at(cls, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> "Words":
+        """Given runs of bytes as words."""
+        w = cls.__new__(cls)
+        w.data, w.starts, w.ends, w.row = data, starts, ends, row
+        w.hash = w._hash()
+        return w
+
     def rows(self) -> np.ndarray:
         """Row of each word."""
         return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
 
 
+class Letters:
+    """Characters of a string array without nulls: code points, byte starts (one longer), and first character of each row
+    (``row``, one longer)."""
+
+    def __init__(self, texts: pa.Array):
+        self.data, self.off = bytes_of(texts)
+        self.code = np.frombuffer(self.data.tobytes().decode().encode("utf-32-le"), np.uint32)
+        size = np.ones(len(self.code), np.int64)
+        for least in (0x80, 0x800, 0x10000):
+            size += self.code >= least
+        self.start = np.concatenate([[0], np.cumsum(size)])
+        self.row = np.searchsorted(self.start, self.off)
+
+
+def char_table(name: str, of) -> np.ndarray:
+    """A small number for every code point, computed once a process."""
+    if name not in _TABLES:
+        _TABLES[name] = np.array([of(chr(i)) for i in range(0x110000)], np.uint8)
+    return _TABLES[name]
+
+
 def grams(hashes: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of the n words from each word on (the last n - 1 entries are missing); windows over row ends are the caller's."""
     if len(hashes) < n:

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import Words, bytes_of, slices
-from ._shared import Shared, materialize, table
+from ._blocks import Letters, Words, bytes_of, char_table, slices
+from ._shared import lean, materialize, Shared, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -152,24 +151,45 @@ def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(unit, n, edges): all pieces in each unit of column ``unit`` by start, as structs (s, e, id, score). The piece table
     has the size of the model, whatever the corpus, so it is broadcast; the edges stay in the partition of their unit."""
     n = F.length("unit")
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda s: F.transform(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
-    edges = words.select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece").join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")
+    # merges start from single characters, so edges of one character only matter where sums are compared
+    least = 2 if pieces.bpe else 1
+    spans = F.flatten(F.transform(F.sequence(F.lit(0), n - least), lambda s: F.transform(F.sequence(F.lit(least), F.least(F.lit(pieces.longest), n - s)), lambda k: F.struct(s.alias("s"), (s + k).alias("e"), F.substring(F.col("unit"), s + 1, k).alias("piece")))))
+    edges = words.filter(n >= least).select("unit", F.explode(spans).alias("x")).select("unit", "x.s", "x.e", "x.piece").join(F.broadcast(piece_table(words.sparkSession, pieces)), "piece")
     return edges.groupBy("unit").agg(F.array_sort(F.collect_list(F.struct("s", "e", "id", "score"))).alias("edges")).withColumn("n", F.length("unit"))
 
 
 def merge_fold(n: Column, edges: Column) -> Column:
-    """Bounds of a unit's pieces by best merges, as a bit mask (bit p: a piece begins or the unit ends at p)."""
+    """Bounds of a unit's pieces by best merges, as a bit mask (bit p: a piece begins or the unit ends at p).
+
+    Best edges first, of equals the leftmost: an edge between two bounds with one bound inside joins two neighbours. As a
+    rule a merge only makes room for worse edges, so one pass suffices; an edge that was passed with several bounds inside
+    could still be joined later, and units with such an edge are folded by searching the best edge again each time."""
     one = F.lit(1).cast("bigint")
     bit = lambda p: F.call_function("shiftleft", one, p)
     masks = F.transform(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda x: F.struct(x["score"].alias("score"), (-x["s"]).alias("left"), (bit(x["s"]) + bit(x["e"])).alias("ends"), (bit(x["e"]) - bit(x["s"] + 1)).alias("inner")))
-    # best first, of equals the leftmost: the first edge that joins two neighbours is the one to merge
     ordered = F.reverse(F.array_sort(masks))
+    odd = F.lit(1 << 62).cast("bigint")
+    whole = bit(n + 1) - 1
+
+    def once(bounds: Column, x: Column) -> Column:
+        inside = bounds.bitwiseAND(x["inner"])
+        return F.when(bounds.bitwiseAND(x["ends"]) != x["ends"], bounds).when(F.bit_count(inside) == 1, bounds.bitwiseXOR(inside)).when(inside != 0, bounds.bitwiseOR(odd)).otherwise(bounds)
 
-    def step(bounds: Column, masks: Column) -> Column:
+    def best(masks: Column, bounds: Column) -> Column:
         inner = F.aggregate(masks, F.lit(0).cast("bigint"), lambda got, x: F.when((got == 0) & (bounds.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(bounds.bitwiseAND(x["inner"])) == 1), x["inner"]).otherwise(got))
         return bounds.bitwiseAND(F.bitwise_not(inner))
 
-    return ordered, lambda masks: F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), bit(n + 1) - 1, lambda bounds, _: step(bounds, masks))
+    def fold(masks: Column) -> Column:
+        passed = F.aggregate(masks, whole, once)
+        again = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), whole, lambda bounds, _: best(masks, bounds))
+        return let(passed, lambda b: F.when(b < odd, b).otherwise(again))
+
+    return let(ordered, fold)
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often lambdas refer to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def viterbi_fold(n: Column, edges: Column, unknown_score: float) -> Column:
@@ -192,8 +212,7 @@ def encoded_units(words: DataFrame, pieces: Pieces) -> DataFrame:
     found = words.select("unit").distinct() if words.columns != ["unit"] else words
     rows = lattice(found, pieces)
     if pieces.bpe:
-        ordered, fold = merge_fold(F.col("n"), F.col("edges"))
-        bounds = rows.withColumn("masks", ordered).withColumn("bounds", fold(F.col("masks")))
+        bounds = rows.withColumn("bounds", merge_fold(F.col("n"), F.col("edges")))
     else:
         bounds = rows.withColumn("bounds", viterbi_fold(F.col("n"), F.col("edges"), pieces.unknown_score))
     one = F.lit(1).cast("bigint")
@@ -204,23 +223,35 @@ def encoded_units(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Dictionary:
-    """Encoded units as arrays: sorted hashes, places, ids."""
+    """Encoded units as arrays: sorted hashes, where the ids of each begin (one longer), the ids one after the other."""
 
     def __init__(self, hashes: np.ndarray, sizes: np.ndarray, ids: np.ndarray):
         order = np.argsort(hashes, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        self.hashes, self.starts, self.sizes, self.ids = hashes[order], starts[order].astype(np.int32), sizes[order].astype(np.int32), ids
+        starts = np.cumsum(sizes) - sizes
+        sizes = sizes[order]
+        self.hashes, self.ids = hashes[order], ids[_lay(starts[order], sizes)]
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
 
     def __len__(self) -> int:
         return len(self.hashes)
 
+    def arrays(self) -> tuple:
+        return self.hashes, self.starts, self.ids
+
+    @classmethod
+    def of(cls, arrays: tuple) -> "Dictionary":
+        d = cls.__new__(cls)
+        d.hashes, d.starts, d.ids = arrays
+        return d
+
 
 def _compact(batches: Iterator[pa.RecordBatch], pieces) -> Iterator[pa.RecordBatch]:
     """Encoded units with hashes, their gaps (characters that are no piece) filled by bytes."""
     pieces = pieces.value
     for batch in batches:
         words = batch.column("unit")
-        hashes, ids = Words(words).hash, []
+        data, off = bytes_of(words)
+        hashes, ids = Words.at(data, off[:-1], off[1:], off[:1]).hash, []
         for unit, path in zip(words.to_pylist(), batch.column("path").to_pylist()):
             out, at = [], 0
             for x in path:
@@ -239,7 +270,7 @@ def build_dictionary(docs: DataFrame, pieces: Pieces, broadcast, limit: int = DI
     frequent units."""
     words = materialize(units(docs, pieces).filter((F.col("count") >= least) & (F.length("unit") <= LONGEST) & ~F.col("unit").contains(" ")), "units")
     known = encoded_units(words.select("unit"), pieces).join(words, "unit", "right").withColumn("path", F.coalesce("path", F.expr("array()").cast("array<struct<s:int,e:int,id:int>>")))
-    rows = materialize(known.select("unit", "path", "count").mapInArrow(partial(_compact, pieces=broadcast), "h bigint, ids binary, count bigint"), "dictionary")
+    rows = materialize(known.select("unit", "path", "count").mapInArrow(lean(_compact, pieces=broadcast), "h bigint, ids binary, count bigint"), "dictionary")
     size = F.octet_length("ids") + 20
     if (rows.agg(F.sum(size)).first()[0] or 0) > limit:
         # the count from which on units fit: counts are few, so their histogram is small
@@ -267,18 +298,34 @@ def _lay(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
+def cut_units(x: pa.Array, pieces: Pieces) -> Words:
+    """The units of prepared texts: as the pattern ``pieces.unit`` finds them, but in whole arrays."""
+    t = Letters(x)
+    kind = char_table("letters", lambda c: 2 if c == BLANK else c.isalpha())[t.code]
+    head = np.zeros(len(kind) + 1, bool)
+    if pieces.unit == LETTERS:
+        head[1:-1] = (kind[1:] != kind[:-1]) & (kind[:-1] != 2)
+    else:
+        head[1:-1] = (kind[1:] == 2) & (kind[:-1] != 2)
+    head[t.row] = True
+    head = np.flatnonzero(head[:-1])
+    starts = t.start[head]
+    return Words.at(t.data, starts, np.append(starts[1:], len(t.data)), np.searchsorted(head, t.row))
+
+
 def encode_texts(texts: pa.Array, pieces: Pieces, words: Dictionary, limit: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets) of the texts, as one flat array."""
     texts = pc.fill_null(texts, "")
     empty = pc.equal(texts, "")
     x = pc.if_else(empty, "", pc.binary_join_element_wise(BLANK, pc.replace_substring(texts, " ", BLANK), ""))
-    w = Words(pc.replace_substring_regex(x, f"({pieces.unit})", "\\1 "))
+    w = cut_units(x, pieces)
     names, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
     at = np.searchsorted(words.hashes, names)
     at[at == len(words)] = 0
     known = words.hashes[at] == names if len(words) else np.zeros(len(names), bool)
     extra, sizes, starts = [], np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
-    sizes[known], starts[known] = words.sizes[at[known]], words.starts[at[known]]
+    starts[known] = words.starts[at[known]]
+    sizes[known] = words.starts[at[known] + 1] - starts[known]
     base = len(words.ids)
     for i in np.flatnonzero(~known):
         out = pieces.encode_unit(w.data[w.starts[first[i]] : w.ends[first[i]]].tobytes().decode())
@@ -315,10 +362,10 @@ def decode_ids(ids: np.ndarray, offsets: np.ndarray, speller: Speller) -> tuple[
 
 
 def _encode(batches: Iterator[pa.RecordBatch], pieces, words) -> Iterator[pa.RecordBatch]:
-    pieces, words = pieces.value, words.value
+    pieces, words = pieces.value, Dictionary.of(words.value)
     speller = Speller(pieces)
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", 512 << 10):  # two tasks share an executor's memory with the JVM
             texts = part.column("text")
             ids, offsets = encode_texts(texts, pieces, words)
             data, ends = decode_ids(ids, offsets, speller)
@@ -357,8 +404,8 @@ def encode(docs: DataFrame, model: str | Pieces = MODEL, dictionary_bytes: int =
     pieces = Pieces.load(model) if isinstance(model, str) else model
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shared = Shared(docs.sparkSession, pieces)
-    words = Shared(docs.sparkSession, build_dictionary(docs, pieces, shared, dictionary_bytes))
-    return docs.mapInArrow(partial(_encode, pieces=shared, words=words), "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
+    words = docs.sparkSession.sparkContext.broadcast(build_dictionary(docs, pieces, shared, dictionary_bytes).arrays())
+    return docs.mapInArrow(lean(_encode, pieces=shared, words=words), "doc_id bigint, n_pieces bigint, ids array<int>, round_trip boolean")
 
 
 def decode(encoded: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
@@ -366,7 +413,7 @@ def decode(encoded: DataFrame, model: str | Pieces = MODEL) -> DataFrame:
     no UTF-8 become replacement characters; an id outside the model is an error."""
     pieces = Pieces.load(model) if isinstance(model, str) else model
     shared = Shared(encoded.sparkSession, pieces)
-    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(partial(_decode, pieces=shared), "doc_id bigint, text string")
+    return encoded.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(lean(_decode, pieces=shared), "doc_id bigint, text string")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
