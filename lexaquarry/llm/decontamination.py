@@ -15,7 +15,6 @@ shuffled. A larger benchmark is joined window by window through a shuffle.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Words, grams, slices
-from ._shared import Shared, fresh, materialize, table
+from ._shared import fresh, lean, materialize, Shared, table
 
 WINDOW = 8
 LITERALS = 5
@@ -213,7 +212,7 @@ def _candidates(docs: DataFrame, items: DataFrame, how: str) -> tuple[DataFrame,
     text that many documents have is looked at once. Hashes only choose candidates."""
     items = materialize(items.withColumn("key", F.xxhash64("item_id", "item_text")), "items")
     lengths = list(range(1, WINDOW + 1))
-    rows = lambda df, name: df.mapInArrow(partial(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", name)
+    rows = lambda df, name: df.mapInArrow(lean(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", name)
     ours = rows(items.select(F.col("key").alias("id"), F.col("item_text").alias("text")), "key").distinct()
     texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
     theirs = rows(texts.select(F.xxhash64("text").alias("id"), "text"), "t")
@@ -248,9 +247,9 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: in
     items = _items(benchmark)
     bench = _small(items, broadcast_windows)
     if bench is not None:
-        return docs.mapInArrow(partial(_find, bench=bench), LEAKS)
+        return docs.mapInArrow(lean(_find, bench=bench), LEAKS)
     pairs, names = _candidates(docs, items, "inner")
-    return pairs.mapInArrow(partial(_verify, names=names), LEAKS)
+    return pairs.mapInArrow(lean(_verify, names=names), LEAKS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -258,9 +257,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     judged by its text, whatever its doc_id; null texts stay."""
     bench = _small(_items(benchmark), broadcast_windows)
     if bench is not None:
-        return docs.mapInArrow(partial(_clean, bench=bench, column="text"), docs.schema)
+        return docs.mapInArrow(lean(_clean, bench=bench, column="text"), docs.schema)
     pairs, names = _candidates(docs, _items(benchmark), "left")
-    return pairs.mapInArrow(partial(_clean_pairs, names=names, columns=docs.columns), docs.schema)
+    return pairs.mapInArrow(lean(_clean_pairs, names=names, columns=docs.columns), docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

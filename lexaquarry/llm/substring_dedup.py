@@ -14,15 +14,15 @@ FAN_IN runs, they are compacted into one of the next level, so a fingerprint is
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import Words, blanked, grams, slices, white_words
-from ._shared import drop_path, fresh, materialize, new_path, partitions, table
+from ._blocks import Words, grams, slices, white_words
+from ._shared import drop_path, fresh, lean, materialize, new_path, partitions, table
 
 PASSAGE = 50
 GRAM = 25
@@ -199,7 +199,7 @@ class FingerprintIndex:
 
     def fingerprints(self, docs: DataFrame) -> DataFrame:
         docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null and text is not null")
-        return docs.mapInArrow(partial(_fingerprints, gram=self.gram, passage=self.passage), RUN_SCHEMA)
+        return docs.mapInArrow(lean(_fingerprints, gram=self.gram, passage=self.passage), RUN_SCHEMA)
 
     def _write(self, rows: DataFrame, level: int) -> tuple[int, str, str]:
         name, t = f"run-{self.count}-{level}-{self.buckets}", self._table()
@@ -240,9 +240,9 @@ class FingerprintIndex:
         if history is not None and self.runs:
             texts = texts.unionByName(pick(history, 0))
         parts = partitions(self.spark)
-        windows = texts.join(places, ["doc_id", "new"]).select("doc_id", "text", "new", "hits").mapInArrow(partial(_windows, gram=self.gram, passage=self.passage, parts=parts), "part int, h binary, g binary, doc binary, pos binary, new binary")
-        repeats = windows.repartition(parts, "part").mapInArrow(partial(_repeats, parts=parts), "part int, doc binary, pos binary, source binary, source_pos binary")
-        spans = materialize(repeats.repartition(parts, "part").mapInArrow(partial(_spans, passage=self.passage), SPANS), "spans")
+        windows = texts.join(places, ["doc_id", "new"]).select("doc_id", "text", "new", "hits").mapInArrow(lean(_windows, gram=self.gram, passage=self.passage, parts=parts), "part int, h binary, g binary, doc binary, pos binary, new binary")
+        repeats = windows.repartition(parts, "part").mapInArrow(lean(_repeats, parts=parts), "part int, doc binary, pos binary, source binary, source_pos binary")
+        spans = materialize(repeats.repartition(parts, "part").mapInArrow(lean(_spans, passage=self.passage), SPANS), "spans")
         if keep:
             self.runs.append(run)
             self._compact()
@@ -311,7 +311,7 @@ def remove_repeats(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, ba
     own, spans_name = (fresh(docs, x) for x in ("id", "spans"))
     spans = repeated_spans(docs, passage, gram, batches).groupBy(F.col("doc_id").alias(own)).agg(F.collect_set(F.struct("start_word", "end_word")).alias(spans_name))
     joined = docs.join(spans, F.col("doc_id").cast("bigint") == F.col(own), "left").drop(own)
-    return joined.mapInArrow(partial(_cut, names=docs.columns, spans_name=spans_name), docs.schema)
+    return joined.mapInArrow(lean(_cut, names=docs.columns, spans_name=spans_name), docs.schema)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,7 @@ piece. Documents that aren't huge are encoded whole, without a shuffle.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Kept
-from ._shared import materialize, partitions, table
+from ._shared import lean, materialize, partitions, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -153,14 +151,14 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, huge: int = HUGE
         vocab = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = F.length("text")
-    out = docs.filter(size <= huge).mapInArrow(partial(_whole, vocabulary=vocab), "doc_id bigint, n_tokens bigint")
+    out = docs.filter(size <= huge).mapInArrow(lean(_whole, vocabulary=vocab), "doc_id bigint, n_tokens bigint")
     out = out.unionByName(docs.filter("text is null").select("doc_id", F.lit(None).cast("bigint").alias("n_tokens")))
     left = docs.filter(size > huge).withColumn("h", F.xxhash64("text"))
     parts = partitions(spark)
     while True:
-        chunks = left.mapInArrow(partial(_cut, chunk=chunk, overlap=overlap), CHUNKS).repartition(parts, "h", "i")
-        encoded = chunks.mapInArrow(partial(_encode, vocabulary=vocab, overlap=overlap), ENCODED)
-        spliced = materialize(encoded.repartition(parts, "h").mapInArrow(_splice, SPLICED), "spliced")
+        chunks = left.mapInArrow(lean(_cut, chunk=chunk, overlap=overlap), CHUNKS).repartition(parts, "h", "i")
+        encoded = chunks.mapInArrow(lean(_encode, vocabulary=vocab, overlap=overlap), ENCODED)
+        spliced = materialize(encoded.repartition(parts, "h").mapInArrow(lean(_splice), SPLICED), "spliced")
         out = out.unionByName(spliced.filter("n_tokens is not null").select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1), "copies"))).select("doc_id", "n_tokens"))
         failed = spliced.filter("n_tokens is null").select(F.col("doc_id").alias("d"), F.col("h").alias("k"))
         if failed.isEmpty():

@@ -14,14 +14,13 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import lean, table
 
 MAGIC = 0x184D2A5D
 FILE_BYTES = 32 << 20
@@ -98,7 +97,7 @@ def archive_frames(pages: DataFrame, file_bytes: int = FILE_BYTES, dictionary_by
     with the same id. Other columns are ignored; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return pages.mapInArrow(partial(_archive, file_bytes=file_bytes, dictionary_bytes=dictionary_bytes, level=level, date=date), FRAMES)
+    return pages.mapInArrow(lean(_archive, file_bytes=file_bytes, dictionary_bytes=dictionary_bytes, level=level, date=date), FRAMES)
 
 
 def _store(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
@@ -130,7 +129,7 @@ def write_warc(pages: DataFrame, folder: str, **options) -> DataFrame:
     """Write the files into ``folder`` (a URI) and return their index (file, seq, page_id, record_id, offset, length). A file
     appears under its name when it is complete; a task that is run again replaces it by the same bytes. The index must be
     read (written, counted) once for the files to be there."""
-    return archive_frames(pages, **options).mapInArrow(partial(_store, folder=folder), FRAMES.rsplit(", ", 1)[0])
+    return archive_frames(pages, **options).mapInArrow(lean(_store, folder=folder), FRAMES.rsplit(", ", 1)[0])
 
 
 def read_records(data: bytes) -> list[bytes]:
