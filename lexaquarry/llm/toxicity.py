@@ -18,7 +18,6 @@ At most SAMPLE labelled documents of each class train it; scoring covers every d
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -28,12 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import Words, slices
-from ._shared import table
+from ._shared import lean, table
 
 P = 4
 SPAN = 7
 DECAY = 0.6
-LANDMARKS = 256
+LANDMARKS = 160
 SAMPLE = 2500  #: labelled documents of each class that train the machine
 LONGEST = 40  #: letters of a word scored at once; longer words are scored in overlapping parts
 ROUNDS = 4
@@ -192,34 +191,49 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
+def vocabulary(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Distinct words in order of their hashes (bytes, starts, ends), and the pairs (text, word) that occur; a slice of the
+    texts at a time."""
+    rows, hashes, spell, at = [], [], {}, 0
+    for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text"):
+        w = words_of(part.column("text"))
+        own, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        pair = np.unique(w.rows() * np.int64(max(1, len(own))) + back)
+        rows.append(at + pair // max(1, len(own)))
+        hashes.append(own[pair % max(1, len(own))])
+        for h, i in zip(own.tolist(), first):
+            if h not in spell:
+                spell[h] = w.data[w.starts[i] : w.ends[i]].tobytes()
+        at += part.num_rows
+    known = np.array(sorted(spell), np.uint64)
+    raw = [spell[h] for h in known.tolist()]
+    ends = np.cumsum([len(x) for x in raw])
+    return np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends, np.concatenate(rows), np.searchsorted(known, np.concatenate(hashes))
+
+
 def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float] | None:
     """(table of tuple weights, bias, threshold), or None where a class has no text."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return None
-    w = words_of(pa.array(texts, pa.string()))
-    _, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
-    row = w.rows()
-    pair = np.unique(row.astype(np.int64) * len(first) + word)
-    row, word = pair // len(first), pair % len(first)
-    bad = np.bincount(word[y[row]], minlength=len(first))
-    good = np.bincount(word[~y[row]], minlength=len(first))
+    data, starts, ends, row, word = vocabulary(texts)
+    bad = np.bincount(word[y[row]], minlength=len(starts))
+    good = np.bincount(word[~y[row]], minlength=len(starts))
     share = y.sum() / len(y)
     # words that toxic documents have more often than chance gives any word, and clean ones hardly ever
     many = np.maximum(bad + good, 1)
     surprise = bad * np.log(np.maximum(bad, 1) / (many * share)) + good * np.log(np.maximum(good, 1) / (many * (1 - share)))
     lift = (bad / y.sum()) / ((good + 1) / (~y).sum())
-    seed = np.flatnonzero((lift > LIFT) & (surprise > np.log(len(first)) + 3))
+    seed = np.flatnonzero((lift > LIFT) & (surprise > np.log(len(starts)) + 3))
     if not len(seed):
         seed = np.argsort(-(bad / y.sum() - good / (~y).sum()), kind="stable")[:1]
-    starts, ends = w.starts[first], w.ends[first]
-    name = lambda i: w.data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
-    order = np.lexsort((w.hash[first], -bad))
+    name = lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
+    order = np.argsort(-bad, kind="stable")
     positive = set(seed.tolist())
     may = (lift > LIFT) | (good == 0)
     clean = [i for i in order[np.argsort(-good[order], kind="stable")] if good[i] and i not in positive and ends[i] - starts[i] >= P - 1]
     negative = set(clean[:1500]) | set(clean[:: max(1, len(clean) // 1500)])
-    score = np.zeros(len(first), np.float32)
+    score = np.zeros(len(starts), np.float32)
     half = LANDMARKS // 2
 
     for turn in range(ROUNDS):
@@ -233,13 +247,13 @@ def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float]
         ok = values > FLOOR * values[-1]
         root = vectors[:, ok] / np.sqrt(values[ok])
         both = np.array(pos + neg)
-        x = kernel(w.data, starts[both], ends[both], landmarks) @ root
+        x = kernel(data, starts[both], ends[both], landmarks) @ root
         mark = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
         weight = fit_machine(x, mark, np.where(mark > 0, len(neg) / max(1, len(pos)), 1.0))
         alpha = root @ weight[:-1]
         tab = np.zeros(1 << (BITS * P), np.float32)
         tab[landmarks.tuples] = landmarks.table[1:] @ alpha
-        score = score_words(w.data, starts, ends, tab, weight[-1])
+        score = score_words(data, starts, ends, tab, weight[-1])
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, row, score[word])
         if turn == ROUNDS - 1:
@@ -280,7 +294,7 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     """The trained machine as a broadcast, or None where the labels lack a class. It is trained in one task on the sample;
     the driver only sees the table of weights, of fixed size."""
-    row = labelled(docs, labels, sample).repartition(1).mapInArrow(_train, "weights binary, bias double, threshold double").first()
+    row = labelled(docs, labels, sample).repartition(1).mapInArrow(lean(_train), "weights binary, bias double, threshold double").first()
     if row is None:
         return None
     return docs.sparkSession.sparkContext.broadcast((np.frombuffer(row.weights, np.float32), row.bias, row.threshold))
@@ -310,12 +324,12 @@ def toxicity_scores(docs: DataFrame, model) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if model is None:
         return docs.select("doc_id", F.lit(float("-inf")).alias("score"))
-    return docs.mapInArrow(partial(_score, model=model), SCORES)
+    return docs.mapInArrow(lean(_score, model=model), SCORES)
 
 
 def drop_toxic(docs: DataFrame, model) -> DataFrame:
     """The documents that aren't toxic, all columns and repeated rows kept; null texts stay."""
-    return docs if model is None else docs.mapInArrow(partial(_keep, model=model), docs.schema)
+    return docs if model is None else docs.mapInArrow(lean(_keep, model=model), docs.schema)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
