@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 
-from lexaquarry.llm import decontamination, queries, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity, warc
+from lexaquarry.llm import queries, sentencepiece_codec, sharding, substring_dedup, token_counts, toxicity, warc
 
 from .test_decontamination import brute as leaks
 from .test_substring_dedup import brute as repeats
