@@ -6,7 +6,7 @@ other sections keep their hashes. Leaf, section and root hashes are SHA-256 with
 node of one level can't pass for one of another. Equal roots mean equal texts; where roots differ, only sections that
 differ have to be opened to find the paragraphs that do.
 
-All hashing is built-in functions within the scan's own stage; only 64 characters a document or section are shuffled.
+All hashing is built-in functions within the scan's own stage; what is shuffled and compared are 128 bits of each hash.
 """
 
 from __future__ import annotations
@@ -58,7 +58,9 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     Null texts give no row. A null doc_id has itself as base (null). Repeated rows are repeated; if one doc_id has several
     texts, its base is sought for each, and as a base it stands with its smallest root. Empty tables give no rows.
     """
-    trees = materialize(merkle_trees(docs), "trees")
+    # what is compared travels as 128 bits of each hash
+    short = lambda h: F.unhex(F.substring(h, 1, 32))
+    trees = materialize(merkle_trees(docs).withColumns({"root": F.unhex("root"), "leaves": F.transform("leaves", short), "sections": F.transform("sections", short)}), "trees")
     places = trees.select("doc_id", "root", F.posexplode("sections").alias("i", "h"), F.size("sections").alias("n"), "bounds").withColumn("long", F.get("bounds", F.col("i")) - F.when(F.col("i") == 0, 0).otherwise(F.get("bounds", F.col("i") - 1)))
     places = places.filter("long > 1 or n = 1").select("doc_id", "root", "h")
     first = places.groupBy("h").agg(F.min("doc_id").alias("base_id"))
@@ -74,7 +76,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     inside = F.flatten(F.transform("cs", lambda s: F.transform(F.slice("leaves", starts(s) + 1, F.get("bounds", s - 1) - starts(s)), lambda h, i: F.struct(h.alias("h"), (starts(s) + i + 1).alias("i")))))
     changed = F.transform(F.filter(inside, lambda x: ~F.array_contains(F.col("theirs"), x["h"])), lambda x: x["i"])
     return out.select(
-        "doc_id", "root", F.size("leaves").cast("bigint").alias("paragraphs"), F.size("sections").cast("bigint").alias("sections"), "base_id",
+        "doc_id", F.lower(F.hex("root")).alias("root"), F.size("leaves").cast("bigint").alias("paragraphs"), F.size("sections").cast("bigint").alias("sections"), "base_id",
         (F.coalesce("b.root", "root") == F.col("root")).alias("equal"),
         F.array_join(F.col("cs").cast("array<string>"), ",").alias("changed_sections"), F.array_join(changed.cast("array<string>"), ",").alias("changed_paragraphs"),
     )
