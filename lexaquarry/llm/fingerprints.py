@@ -18,6 +18,7 @@ from ._shared import materialize, table
 
 LEAF, SECTION, ROOT = "p", "s", "d"
 ENDS = ("0", "1")  #: first digits of a paragraph's hash that end a section
+WEIGHT = 1 << 32  #: of a node that one row holds
 
 
 def _ends(h: Column) -> Column:
@@ -58,13 +59,45 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     Null texts give no row. A null doc_id has itself as base (null). Repeated rows are repeated; if one doc_id has several
     texts, its base is sought for each, and as a base it stands with its smallest root. Empty tables give no rows.
     """
-    # what is compared travels as 128 bits of each hash
-    short = lambda h: F.unhex(F.substring(h, 1, 32))
-    trees = materialize(merkle_trees(docs).withColumns({"root": F.unhex("root"), "leaves": F.transform("leaves", short), "sections": F.transform("sections", short)}), "trees")
+    trees = _short_trees(docs)
     places = trees.select("doc_id", "root", F.posexplode("sections").alias("i", "h"), F.size("sections").alias("n"), "bounds").withColumn("long", F.get("bounds", F.col("i")) - F.when(F.col("i") == 0, 0).otherwise(F.get("bounds", F.col("i") - 1)))
     places = places.filter("long > 1 or n = 1").select("doc_id", "root", "h")
     first = places.groupBy("h").agg(F.min("doc_id").alias("base_id"))
     base = places.join(first, "h").groupBy("doc_id", "root").agg(F.min("base_id").alias("base_id"))
+    return _compared(trees, base)
+
+
+def document_bases(docs: DataFrame) -> DataFrame:
+    """The columns of ``document_fingerprints``, with bases sought on all levels of the tree: root, sections, paragraphs.
+
+    base_id is the smallest doc_id of an equal text where that is an earlier document. Else, of the earlier documents that
+    are the first to hold one of the document's sections or paragraphs, it is the one whose shared nodes weigh most, a node
+    that n rows hold weighing 1 / n; of equals the smallest. So lines that many documents have come last, but where nothing
+    else ties a document they do. It is the document itself where no earlier one shares a paragraph.
+
+    Nulls, repeated rows, several texts of one doc_id and empty tables are taken as there.
+    """
+    trees = _short_trees(docs)
+    first = trees.groupBy("root").agg(F.min("doc_id").alias("equal_id"))
+    equal = trees.filter("doc_id is not null").select("doc_id", "root").distinct().join(first.filter("equal_id is not null"), "root").filter("equal_id < doc_id")
+    # a node stands once a document; the mark of its level is part of its hash
+    nodes = trees.filter("doc_id is not null").select("doc_id", "root", F.explode(F.array_distinct(F.concat("sections", "leaves"))).alias("h"))
+    holders = nodes.groupBy("h").agg(F.min("doc_id").alias("base_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = nodes.join(holders, "h").filter("base_id < doc_id")
+    # whole numbers, as sums of fractions depend on their order
+    weights = shared.groupBy("doc_id", "root", "base_id").agg(F.sum(F.expr(f"greatest(1L, {WEIGHT}L div n)")).alias("weight"))
+    near = weights.groupBy("doc_id", "root").agg(F.max(F.struct("weight", (-F.col("base_id")).alias("base"))).alias("x")).select("doc_id", "root", (-F.col("x.base")).alias("near_id"))
+    return _compared(trees, near.join(equal, ["doc_id", "root"], "full").select("doc_id", "root", F.coalesce("equal_id", "near_id").alias("base_id")))
+
+
+def _short_trees(docs: DataFrame) -> DataFrame:
+    """The trees; what is compared travels as 128 bits of each hash."""
+    short = lambda h: F.unhex(F.substring(h, 1, 32))
+    return materialize(merkle_trees(docs).withColumns({"root": F.unhex("root"), "leaves": F.transform("leaves", short), "sections": F.transform("sections", short)}), "trees")
+
+
+def _compared(trees: DataFrame, base: DataFrame) -> DataFrame:
+    """Each tree against that of its base; a document that ``base`` lacks is its own."""
     bases = base.filter("base_id <> doc_id").select(F.col("base_id").alias("doc_id")).distinct()
     head = trees.join(bases, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("base_id")).agg(F.min(F.struct("root", "sections", "leaves")).alias("b"))
     key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
@@ -82,6 +115,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     )
 
 
+def op2_bases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_bases(table(spark, sf_dir, "documents"))
+
+
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return document_fingerprints(table(spark, sf_dir, "documents"))
 

@@ -5,6 +5,7 @@ from . import decontamination, fingerprints, ngram_jaccard, sentencepiece_codec,
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_jaccard.op1_ngram_jaccard_join,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op2_bases": fingerprints.op2_bases,
     "op3_sentencepiece": sentencepiece_codec.op3_sentencepiece,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_sharding": sharding.op5_sharding,

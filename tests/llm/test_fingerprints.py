@@ -66,3 +66,53 @@ def test_levels_dont_mix(spark):
     """A text that spells the hash of another's section has another root."""
     a = tree("x")
     assert tree(a[1][0][1])[2] != a[2]
+
+
+def brute_bases(rows):
+    docs = {i: tree(t) for i, t in rows if i is not None and t is not None}
+    nodes = {i: {*leaves, *(h for _, h in sections)} for i, (leaves, sections, _) in docs.items()}
+    holders = {}
+    for i in sorted(docs):
+        for h in nodes[i]:
+            holders.setdefault(h, []).append(i)
+    out = {}
+    for i, (_, _, root) in docs.items():
+        equal = min(j for j in docs if docs[j][2] == root)
+        weight = {}
+        for h in nodes[i]:
+            if holders[h][0] < i:
+                weight[holders[h][0]] = weight.get(holders[h][0], 0) + P.WEIGHT // len(holders[h])
+        out[i] = equal if equal < i else min(weight, key=lambda j: (-weight[j], j), default=i)
+    return out
+
+
+def test_bases_of_short_and_near_copies(spark):
+    """Equal texts are tied, and so is each document that shares a paragraph with an earlier one."""
+    rng = random.Random(5)
+    rows = [(i, t) for i, t in cases.rough(3) if i is not None]
+    single = next(t for t in (f"head {k}\ntail {k}" for k in range(1000)) if len(tree(t)[1]) == 2)  # two sections of one paragraph
+    rows += [(9000, single), (9001, single)]
+    line = lambda n: cases.prose(rng, n).replace("\n", " ")
+    mine, other = line(30), line(30)
+    rows += [(9100, f"{mine}\nfirst end"), (9101, f"{mine}\nsecond end"), (9102, other)]
+    rows += [(9200 + i, f"a line of the house\n{line(12)}") for i in range(5)]
+    rows += [(9300, f"a line of the house\nthird end\n{mine}")]  # the hot line's first holder is 9200
+    want = brute_bases(rows)
+    found = {r.doc_id: r for r in P.document_bases(cases.documents(spark, rows)).collect()}
+    assert {i: r.base_id for i, r in found.items()} == want
+    texts = {}
+    for i, t in sorted((i, t) for i, t in rows if t is not None):
+        assert texts.setdefault(t, i) == i or (found[i].base_id, found[i].equal, found[i].changed_paragraphs) == (texts[t], True, "")
+    lines = {i: set(t.split("\n")) for i, t in rows if t is not None}
+    for i in lines:
+        assert (found[i].base_id == i) == all(not lines[i] & lines[j] for j in lines if j < i)
+    assert found[9001].base_id == 9000
+    assert (found[9101].base_id, found[9101].changed_paragraphs) == (9100, "2") and found[9102].base_id == 9102
+    assert (found[9300].base_id, found[9300].changed_paragraphs) == (9100, "1,2")
+
+
+def test_bases_of_nulls_and_nothing(spark):
+    assert P.document_bases(cases.documents(spark, [])).collect() == []
+    rows = [(None, "a\nb"), (3, "a\nb"), (3, "a\nb"), (4, None), (5, ""), (6, "")]
+    r = P.document_bases(cases.documents(spark, rows)).collect()
+    assert sorted(((x.doc_id, x.base_id) for x in r), key=repr) == sorted([(None, None), (3, 3), (3, 3), (5, 5), (6, 5)], key=repr)
