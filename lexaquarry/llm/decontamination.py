@@ -5,7 +5,8 @@ slots; the first word of a sentence, of which the case tells nothing, is a slot
 lower-cased literals. Windows of WINDOW template words with at least LITERALS literals are hash-joined against the
 windows of the benchmark items. A window that meets grows to the longest run of equal template words; the run is a leak
 when it has min(RUN, words of the item) words and its slots agree: one value of the item always stands for one value of
-the document, and different names for different names. So a question with other numbers and names is caught, and a
+the document, and different names for different names. Of a run whose slots disagree, the longest part whose slots agree
+is taken, if it has as many words and a window of its own. So a question with other numbers and names is caught, and a
 sentence that only has the same shape is not.
 
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS of them: documents are then read once and nothing is
@@ -124,12 +125,56 @@ class Benchmark:
             if b - a < min(RUN, len(words)):
                 continue
             ok, changed = self._slots(w, item, a, b, delta)
+            if not ok:
+                a, b = self._part(w, item, a, b, delta)
+                ok, changed = self._slots(w, item, a, b, delta) if b > a else (False, 0)
             if ok:
                 x = (-(b - a), delta + a - base, a, changed)
                 if (r, item) not in best or x < best[(r, item)]:
                     best[(r, item)] = x
         return [(r, item, start, a, -n, changed == 0, changed) for (r, item), (n, start, a, changed) in sorted(best.items())]
 
+    def _part(self, w: Words, item: int, a: int, b: int, delta: int) -> tuple[int, int]:
+        """The longest part of a run, of equals the first, that is long enough, has a window of enough literals, and whose
+        slots agree; an empty one where there is none."""
+        kinds, values = self.kinds[item], self.values[item]
+        n, least = min(WINDOW, len(kinds)), min(RUN, len(kinds))
+        literal = np.concatenate([[0], np.cumsum(kinds == 0)])
+        seeds = np.flatnonzero(literal[n:] - literal[:-n] >= min(LITERALS, max(1, n - 2)))
+        there: dict = {}
+        back: dict = {}
+        best = (a, a)
+
+        def count(p: int, by: int) -> bool:
+            """Take the slot in or out; whether it agrees with those that are in."""
+            kind = int(kinds[p])
+            if kind in (0, HEAD):
+                return True
+            x, y = values[p], w.data[w.starts[delta + p] : w.ends[delta + p]].tobytes()
+            ok = True
+            for names, one, other in ((there, x, y), (back, y, x))[: 2 if kind == NAME else 1]:
+                have = names.setdefault(one, {})
+                have[other] = have.get(other, 0) + by
+                if not have[other]:
+                    del have[other]
+                ok &= len(have) < 2
+            return ok
+
+        low = a
+        for p in range(a, b):
+            ok = count(p, 1)
+            while not ok:
+                # only the pairs of p can disagree: take slots out until p, taken anew, agrees
+                count(low, -1)
+                low += 1
+                count(p, -1)
+                ok = count(p, 1)
+            if p + 1 - low > best[1] - best[0] and p + 1 - low >= least:
+                i = int(np.searchsorted(seeds, low))
+                if i < len(seeds) and seeds[i] + n <= p + 1:
+                    best = (low, p + 1)
+        return best
+
     def _slots(self, w: Words, item: int, a: int, b: int, delta: int) -> tuple[bool, int]:
         there: dict = {}
         back: dict = {}

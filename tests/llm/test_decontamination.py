@@ -96,3 +96,44 @@ def test_nothing(spark):
     assert D.benchmark_leaks(cases.documents(spark, []), items).collect() == []
     assert D.benchmark_leaks(docs, none).collect() == []
     assert D.decontaminate(docs, none).count() == docs.count()
+
+
+def spans(spark, texts, items, limit=D.BROADCAST_WINDOWS):
+    """{(doc_id, item_id): (item_word, words, changed_slots)}; a document that leaks is dropped, another stays."""
+    docs = cases.documents(spark, list(enumerate(texts)))
+    items = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    out = {(r.doc_id, r.item_id): (r.item_word, r.words, r.changed_slots) for r in D.benchmark_leaks(docs, items, limit).collect()}
+    assert {r.doc_id for r in D.decontaminate(docs, items, limit).collect()} == set(range(len(texts))) - {d for d, _ in out}
+    return out
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_WINDOWS, 0])
+def test_the_part_whose_slots_agree(spark, limit):
+    """A run in which one slot disagrees leaks by the longest part without it."""
+    train = ITEMS[1][1]
+    texts = [
+        train.replace("80 km", "80 miles"),
+        train.replace("240 km", "240 miles"),
+        "A train leaves the old station at 9:30 and travels 240 km and nobody knows when.",
+    ]
+    found = spans(spark, texts, [train], limit)
+    n = len(D.canonical(pa.array([train])).hash)
+    assert n == 27 and found == {(0, 0): (0, 18, 0), (1, 0): (0, 18, 1)}
+
+
+def test_parts_as_by_brute_force():
+    """Every part of a run is tried."""
+    rng = random.Random(6)
+    some = 0
+    for _ in range(400):
+        words = [rng.choice(["aa", "bb", "cc", "dd", "1", "2", "3", "Xa", "Xb"]) for _ in range(rng.randint(16, 40))]
+        other = [rng.choice(["1", "2", "3"]) if x.isdigit() and rng.random() < 0.2 else rng.choice(["Xa", "Xb"]) if x[0] == "X" and rng.random() < 0.2 else x for x in words]
+        bench, w = D.Benchmark([0], ["so " + " ".join(words)]), D.canonical(pa.array(["so " + " ".join(other)]))
+        n, kinds = len(bench.words[0]), bench.kinds[0]
+        seeds = [p for p in range(n - D.WINDOW + 1) if sum(kinds[p : p + D.WINDOW] == 0) >= D.LITERALS]
+        parts = [(a - b, a) for a in range(n) for b in range(a + D.RUN, n + 1) if any(a <= p and p + D.WINDOW <= b for p in seeds) and bench._slots(w, 0, a, b, 0)[0]]
+        want = min(parts, default=None)
+        a, b = bench._part(w, 0, 0, n, 0)
+        assert (a - b, a) == want if want else a == b
+        some += want is not None and -want[0] < n
+    assert some > 50
