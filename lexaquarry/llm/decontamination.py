@@ -6,7 +6,9 @@ lower-cased literals. Windows of WINDOW template words with at least LITERALS li
 windows of the benchmark items. A window that meets grows to the longest run of equal template words; the run is a leak
 when it has min(RUN, words of the item) words and its slots agree: one value of the item always stands for one value of
 the document, and different names for different names. Of a run whose slots disagree, the longest part whose slots agree
-is taken, if it has as many words and a window of its own. So a question with other numbers and names is caught, and a
+is taken, if it has as many words and a window of its own. Items of at most RUN words must match in all of them; as their
+first word may stand behind a colon, a list mark or a line break, there it agrees with any name and with its own letters in
+small, too. So a question with other numbers and names is caught, and a
 sentence that only has the same shape is not.
 
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS of them: documents are then read once and nothing is
@@ -87,10 +89,20 @@ class Benchmark:
         for n in sorted({min(WINDOW, int(x)) for x in length if x}):
             at, h = windows(w, n)
             fits = (length[row[at]] == n) | (n == WINDOW)
-            at, h = at[fits], h[fits]
-            order = np.argsort(h, kind="stable")
-            if len(order):
-                self.index[n] = (h[order], row[at[order]], at[order] - w.row[row[at[order]]])
+            self._enter(n, h[fits], row[at[fits]], at[fits] - w.row[row[at[fits]]])
+            if 1 < n <= WINDOW:
+                # items of one window are also met without their first word
+                whole = np.flatnonzero(fits & (length[row[at]] == n) & (w.kind[at] == HEAD))
+                rest = grams(w.hash, n - 1)
+                self._enter(n - 1, rest[at[whole] + 1], row[at[whole]], np.ones(len(whole), np.int64))
+
+    def _enter(self, n: int, h: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
+        """Add windows of n words to the index."""
+        if n in self.index:
+            h, items, places = (np.concatenate(x) for x in zip(self.index[n], (h, items, places)))
+        order = np.argsort(h, kind="stable")
+        if len(order):
+            self.index[n] = (h[order], items[order], places[order])
 
     def meets(self, w: Words) -> Iterator[tuple[int, int, int]]:
         """(word, item, word of the item) of each equal window."""
@@ -117,6 +129,8 @@ class Benchmark:
             words = self.words[item]
             low, high = max(0, base - delta), min(len(words), int(w.row[r + 1]) - delta)
             here = w.hash[delta + low : delta + high] == words[low:high]
+            if low == 0 and len(words) <= RUN and not here[0]:
+                here[0] = self._opens(w, item, delta)
             left = np.flatnonzero(~here[: place - low])
             right = np.flatnonzero(~here[place - low :])
             a = low + (int(left[-1]) + 1 if len(left) else 0)
@@ -134,6 +148,12 @@ class Benchmark:
                     best[(r, item)] = x
         return [(r, item, start, a, -n, changed == 0, changed) for (r, item), (n, start, a, changed) in sorted(best.items())]
 
+    def _opens(self, w: Words, item: int, at: int) -> bool:
+        """Whether a document's word can be the item's first, typed otherwise as no sentence ends in front of it."""
+        if self.kinds[item][0] != HEAD:
+            return False
+        return w.kind[at] == NAME or (w.kind[at] == 0 and w.data[w.starts[at] : w.ends[at]].tobytes() == self.values[item][0][1:])
+
     def _part(self, w: Words, item: int, a: int, b: int, delta: int) -> tuple[int, int]:
         """The longest part of a run, of equals the first, that is long enough, has a window of enough literals, and whose
         slots agree; an empty one where there is none."""

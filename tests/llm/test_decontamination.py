@@ -137,3 +137,24 @@ def test_parts_as_by_brute_force():
         assert (a - b, a) == want if want else a == b
         some += want is not None and -want[0] < n
     assert some > 50
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_WINDOWS, 0])
+def test_short_items_behind_other_marks(spark, limit):
+    """The first word of a short item agrees wherever the item stands."""
+    capital, short, two = "What is the capital of the large country in the south?", "Who wrote the long letter?", "Anna sings"
+    texts = [
+        "Question: " + capital,
+        "Read on\n" + capital + "\nAnswer below",
+        "- one thing\n- " + capital,
+        "(a) " + capital,
+        "q: " + capital.lower(),
+        "Question: " + short,
+        "1) " + short,
+        "they ask who wrote the long letter",
+        "they say that wrote the long letter",  # another first word
+        "the capital of the large country in the south",
+        "Song: Maria sings",
+    ]
+    found = spans(spark, texts, [capital, short, two], limit)
+    assert found == {**{(i, 0): (0, 11, 0) for i in range(5)}, **{(i, 1): (0, 5, 0) for i in (5, 6, 7)}, (10, 2): (0, 2, 0)}
