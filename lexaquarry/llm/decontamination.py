@@ -8,7 +8,12 @@ when it has min(RUN, words of the item) words and its slots agree: one value of
 the document, and different names for different names. Of a run whose slots disagree, the longest part whose slots agree
 is taken, if it has as many words and a window of its own. Items of at most RUN words must match in all of them; as their
 first word may stand behind a colon, a list mark or a line break, there it agrees with any name and with its own letters in
-small, too. So a question with other numbers and names is caught, and a
+small, too.
+
+All this is done twice: with a slot for each capitalised word, and with one slot for each name, which is a run of
+capitalised words with nothing but a blank or a hyphen between them (behind the first word of a sentence it is part of that
+slot). The second finds items whose names have another number of words, the first counts each word of what stands verbatim.
+So a question with other numbers and names is caught, and a
 sentence that only has the same shape is not.
 
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS of them: documents are then read once and nothing is
@@ -33,11 +38,15 @@ LITERALS = 5
 RUN = 13
 BROADCAST_WINDOWS = 4_000_000
 NUMBER, HEAD, NAME, UNIT = 1, 2, 3, 4
+JOINED = 6
 UNITS = "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|yards?|kg|g|mg|grams?|kilograms?|pounds?|lbs?|ounces?|oz|tons?|l|ml|lit(?:er|re)s?|gallons?|cups?|seconds?|secs?|minutes?|mins?|hours?|hrs?|h|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|mph|kmh|kph|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|kwh|v|volts?|watts?|points?"
 _STEPS = (
-    (r"[\x00-\x05\s]+", " "),
+    (r"[\x00-\x06\t ]+", " "),
+    (r" ?[\n\r\f][\n\r\f ]*", "  "),  # two blanks: no name goes on behind a line break
     (r"((?:^|[.!?]+[\"')\]»”]*) *[^\p{L}\p{N} ]* *)(\p{L}[\p{L}\p{M}'’]*)", "\\1 \x02\\2"),
     (r"(^|[^\p{L}\x02'’])(\p{Lu}[\p{L}\p{M}'’]*)", "\\1\x03\\2"),
+    (r"([\p{L}\p{M}'’])[ \x{a0}\x{2010}\x{2011}-]\x03", "\\1 \x06"),
+    ("  ", " "),
     (r"(\d)[.,:/](\d)", "\\1\x05\\2"),
     (r"(\d)[.,:/](\d)", "\\1\x05\\2"),
     (r"(\d[\d\x05]*) ?%", "\\1 percent "),
@@ -46,7 +55,8 @@ _STEPS = (
 
 
 def canonical(texts: pa.Array) -> Words:
-    """Template words; a slot's word starts with the byte of its type and keeps its value."""
+    """Template words; a slot's word starts with the byte of its type and keeps its value. ``joined`` tells of each whether it
+    is a name's word right behind another word."""
     x = pc.fill_null(texts, "")
     for pattern, to in _STEPS:
         x = pc.replace_substring_regex(x, pattern, to)
@@ -54,14 +64,29 @@ def canonical(texts: pa.Array) -> Words:
     x = pc.replace_substring_regex(x, r"([^\p{L}\p{N}\x05]|^)(\d[\d\x05]*)", "\\1\x01\\2 ")
     x = pc.replace_substring_regex(x, rf"(\x01[\d\x05]+) +({UNITS})\b", "\\1 \x04\\2")
     x = pc.replace_substring_regex(x, r"['’]", "")
-    x = pc.replace_substring_regex(x, r"[^\p{L}\p{N}\p{M}\x01-\x05]+", " ")
+    x = pc.replace_substring_regex(x, r"[^\p{L}\p{N}\p{M}\x01-\x06]+", " ")
     w = Words(x)
+    w.joined = w.data[w.starts] == JOINED if len(w.starts) else np.zeros(0, bool)
+    w.data = np.where(w.data == JOINED, np.uint8(NAME), w.data)
     w.kind = np.where(w.data[w.starts] < 5, w.data[w.starts], 0) if len(w.starts) else np.zeros(0, np.uint8)
     slot = w.kind > 0
     w.hash[slot] = w.kind[slot].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return w
 
 
+def folded(w: Words) -> Words:
+    """Template words with one slot for each name; ``first`` is the first word of each in w, and one more."""
+    name = (w.kind == NAME) | (w.kind == HEAD)
+    keep = np.ones(len(w.hash), bool)
+    keep[1:] = ~(w.joined[1:] & name[:-1])
+    out = Words.__new__(Words)
+    first = np.flatnonzero(keep)
+    out.first = np.append(first, len(w.hash))
+    out.data, out.off, out.starts, out.ends = w.data, w.off, w.starts[first], w.ends[out.first[1:] - 1]
+    out.hash, out.kind, out.row = w.hash[first], w.kind[first], np.searchsorted(first, w.row)
+    return out
+
+
 def windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the windows within one row that have enough literals."""
     g = grams(w.hash, length)
@@ -77,10 +102,16 @@ def windows(w: Words, length: int) -> tuple[np.ndarray, np.ndarray]:
 class Benchmark:
     """Items as template words, and their windows sorted by hash. An item shorter than WINDOW is one window."""
 
-    def __init__(self, ids: list, texts: list):
+    def __init__(self, ids: list, texts: list, w: Words | None = None):
         self.ids = ids
         self.texts = texts
-        w = canonical(pa.array(texts, pa.string()))
+        self.folded = None
+        if w is None:
+            w = canonical(pa.array(texts, pa.string()))
+            self.folded = Benchmark(ids, texts, folded(w))
+            self.folded.first = [self.folded.first[a : b + 1] - self.folded.first[a] for a, b in zip(self.folded.row, self.folded.row[1:])]
+        else:
+            self.first, self.row = w.first, w.row
         self.words = [w.hash[a:b] for a, b in zip(w.row, w.row[1:])]
         self.kinds = [w.kind[a:b] for a, b in zip(w.row, w.row[1:])]
         self.values = [[w.data[s:e].tobytes() for s, e in zip(w.starts[a:b], w.ends[a:b])] for a, b in zip(w.row, w.row[1:])]
@@ -117,6 +148,16 @@ class Benchmark:
                 for j in range(first[i], last[i]):
                     yield int(at[i]), int(items[j]), int(places[j])
 
+    def find(self, w: Words) -> list[tuple]:
+        """The longest leak by words of each row and item; where there is none, the longest by names, in words of the item."""
+        best = {x[:2]: x for x in self.leaks(w, self.meets(w))}
+        f = folded(w)
+        for r, item, start, a, n, verbatim, changed in self.folded.leaks(f, self.folded.meets(f)):
+            first, base = self.folded.first[item], int(f.row[r])
+            x = (r, item, int(f.first[base + start] - w.row[r]), int(first[a]), int(first[a + n] - first[a]), verbatim, changed)
+            best.setdefault((r, item), x)
+        return [best[k] for k in sorted(best)]
+
     def leaks(self, w: Words, meets) -> list[tuple]:
         """(row, item, first word in the document, first word in the item, words, verbatim, changed slots): the longest leak
         of each row and item, of equals the first."""
@@ -154,10 +195,22 @@ class Benchmark:
             return False
         return w.kind[at] == NAME or (w.kind[at] == 0 and w.data[w.starts[at] : w.ends[at]].tobytes() == self.values[item][0][1:])
 
+    def _pair(self, w: Words, item: int, p: int, delta: int) -> tuple[int, bytes, bytes]:
+        """Type and values of a slot. Of the first word of a sentence it is the name behind it that counts, if both have one; else
+        the values tell whether one has."""
+        kind = int(self.kinds[item][p])
+        if not kind:
+            return 0, b"", b""
+        x, y = self.values[item][p], w.data[w.starts[delta + p] : w.ends[delta + p]].tobytes()
+        if kind == HEAD:
+            x, y = x.partition(b" ")[2], y.partition(b" ")[2]
+            kind = NAME if x and y else HEAD
+        return kind, x, y
+
     def _part(self, w: Words, item: int, a: int, b: int, delta: int) -> tuple[int, int]:
         """The longest part of a run, of equals the first, that is long enough, has a window of enough literals, and whose
         slots agree; an empty one where there is none."""
-        kinds, values = self.kinds[item], self.values[item]
+        kinds = self.kinds[item]
         n, least = min(WINDOW, len(kinds)), min(RUN, len(kinds))
         literal = np.concatenate([[0], np.cumsum(kinds == 0)])
         seeds = np.flatnonzero(literal[n:] - literal[:-n] >= min(LITERALS, max(1, n - 2)))
@@ -167,10 +220,9 @@ class Benchmark:
 
         def count(p: int, by: int) -> bool:
             """Take the slot in or out; whether it agrees with those that are in."""
-            kind = int(kinds[p])
+            kind, x, y = self._pair(w, item, p, delta)
             if kind in (0, HEAD):
                 return True
-            x, y = values[p], w.data[w.starts[delta + p] : w.ends[delta + p]].tobytes()
             ok = True
             for names, one, other in ((there, x, y), (back, y, x))[: 2 if kind == NAME else 1]:
                 have = names.setdefault(one, {})
@@ -200,10 +252,10 @@ class Benchmark:
         back: dict = {}
         changed = 0
         for p in range(a, b):
-            kind = int(self.kinds[item][p])
+            kind, x, y = self._pair(w, item, p, delta)
             if kind in (0, HEAD):
+                changed += kind == HEAD and x != y
                 continue
-            x, y = self.values[item][p], w.data[w.starts[delta + p] : w.ends[delta + p]].tobytes()
             if there.setdefault(x, y) != y or (kind == NAME and back.setdefault(y, x) != x):
                 return False, 0
             changed += x != y
@@ -218,7 +270,7 @@ def _find(batches: Iterator[pa.RecordBatch], bench) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
             w = canonical(part.column("text"))
-            found = bench.leaks(w, bench.meets(w))
+            found = bench.find(w)
             if found:
                 ids = part.column("doc_id").to_pylist()
                 cols = list(zip(*((ids[r], bench.ids[item], *rest) for r, item, *rest in found)))
@@ -231,7 +283,7 @@ def _clean(batches: Iterator[pa.RecordBatch], bench, column: str) -> Iterator[pa
         for part in slices(batch, column):
             w = canonical(part.column(column))
             bad = np.zeros(part.num_rows, bool)
-            for r, *_ in bench.leaks(w, bench.meets(w)):
+            for r, *_ in bench.find(w):
                 bad[r] = True
             yield part.filter(pa.array(~bad))
 
@@ -239,14 +291,17 @@ def _clean(batches: Iterator[pa.RecordBatch], bench, column: str) -> Iterator[pa
 def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "text"):
-            w = canonical(part.column("text"))
-            row = w.rows()
+            words = canonical(part.column("text"))
             ids = part.column("id").to_numpy(zero_copy_only=False)
-            for n in lengths:
-                at, h = windows(w, n)
-                fits = np.diff(w.row)[row[at]] >= n
-                at, h = at[fits], h[fits]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(ids[row[at]])], names=["h", "n", "id"])
+            for w in (words, folded(words)):
+                row = w.rows()
+                for n in lengths:
+                    at, h = windows(w, n)
+                    fits = np.diff(w.row)[row[at]] >= n
+                    if w is not words:  # windows without a folded name are there already
+                        fits &= w.first[at + n] - w.first[at] > n
+                    at, h = at[fits], h[fits]
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(ids[row[at]])], names=["h", "n", "id"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +318,7 @@ def _against(text: str | None, ids: list | None, texts: list | None) -> list[tup
     if text is None or not ids:
         return []
     bench, w = Benchmark(ids, texts), canonical(pa.array([text], pa.string()))
-    return bench.leaks(w, bench.meets(w))
+    return bench.find(w)
 
 
 def _clean_pairs(batches: Iterator[pa.RecordBatch], names: tuple[str, str], columns: list[str]) -> Iterator[pa.RecordBatch]:

@@ -158,3 +158,36 @@ def test_short_items_behind_other_marks(spark, limit):
     ]
     found = spans(spark, texts, [capital, short, two], limit)
     assert found == {**{(i, 0): (0, 11, 0) for i in range(5)}, **{(i, 1): (0, 5, 0) for i in (5, 6, 7)}, (10, 2): (0, 2, 0)}
+
+
+@pytest.mark.parametrize("limit", [D.BROADCAST_WINDOWS, 0])
+def test_names_of_other_lengths(spark, limit):
+    """A name is one slot, however many words it has."""
+    item = "On most days the old baker meets Anna near New York and then gives Anna five small loaves of bread."
+    head = "Maria Lopez sells old books near the small harbour and then Maria Lopez walks home."
+    sold = "sells old books near the small harbour and then"
+    texts = [
+        item.replace("Anna", "Mary Ann"),
+        item.replace("New York", "Paris"),
+        item.replace("Anna", "Mary Ann Smith").replace("New York", "Paris"),
+        item.replace("Anna", "Jean-Luc"),
+        item.replace("Anna", "Mary Ann", 1),  # another name the second time: no more than parts
+        f"Anna {sold} Anna walks home.",
+        f"Mary Ann Smith {sold} Mary Ann Smith walks home.",
+        f"Mary Ann Smith {sold} Paul walks home.",
+        "Nothing of the kind stands in here, says Mary Ann Smith of New York.",
+    ]
+    found = spans(spark, texts, [item, head], limit)
+    assert found == {(0, 0): (0, 20, 2), (1, 0): (0, 20, 1), (2, 0): (0, 20, 3), (3, 0): (0, 20, 2), (4, 0): (0, 14, 1), (5, 1): (0, 15, 2), (6, 1): (0, 15, 2), (7, 1): (0, 15, 2)}
+
+
+def test_what_stands_verbatim_counts_by_words(spark):
+    """Long names take no words from a run."""
+    item = "the members of the old River Valley Club met in the large hall and spoke of nothing but rain"
+    assert spans(spark, ["we saw. The members of the old River Valley Club met in the large hall. Nobody came."], [item]) == {(0, 0): (0, 13, 0)}
+
+
+def test_names_end_with_their_line(spark):
+    """A title above a verbatim item is no part of its first name."""
+    item = "Maria sells old books near the small harbour and then walks home with nothing."
+    assert spans(spark, ["Old Title\n" + item], [item]) == {(0, 0): (1, 13, 0)}
