@@ -1,16 +1,18 @@
-"""Toxicity by a subsequence-kernel support vector machine with Nystrom landmarks.
+"""Toxicity by a subsequence-kernel support vector machine with Nystrom landmarks, trained on labelled sentences.
 
 The kernel counts common subsequences of P characters, with gaps: a subsequence that spans n characters weighs
 DECAY**n, and spans over SPAN don't count, so insults with inserted or dropped characters stay close to the plain ones.
-Strings are the words of a sentence between word marks, without accents, punctuation inside ("i.d.i.o.t") and digits
-for letters ("1d10t"); letters that stand alone in a row ("i d i o t") are one word too.
-
-Training sees labelled sentences: all sentences of documents labelled clean, and those of toxic documents that have a
-word for which the labels give evidence; rounds of training then add a toxic document's worst word where clean documents
-lack it, and the clean documents' words that come near, as examples and as landmarks. A Nystrom map of the kernel on
-landmark words makes the machine linear, and a linear machine on this kernel is one table of weights over character
-P-tuples: scoring a word is a sum of look-ups. The table is of fixed size. A sentence scores as its worst word, a document
-as its worst sentence.
+A sentence is a bag of strings: its words between word marks, without accents, punctuation inside ("i.d.i.o.t") and digits
+for letters ("1d10t"); letters that stand alone in a row ("i d i o t") are one word too. Two sentences are compared by
+their nearest words, as the share of an insult in a sum over all words would shrink with the sentence.
+
+Labels are of documents, so training is multiple-instance: every sentence of a clean document is a clean example, and of a
+toxic document the sentence that looks worst is the toxic one, with all others that score as toxic; which they are is
+decided anew in every round. First looks are naive log odds of the kernel's own features. A Nystrom map of the kernel
+makes the machine linear; its landmarks are picked by pivoted Cholesky steps, so each stands for words that none before
+it does. A linear machine on this kernel is one table of weights over character P-tuples: scoring a word is a sum of
+look-ups. The table is of fixed size. A sentence scores as its worst word, a document as its worst sentence, which is its
+worst word, so scoring needs no bounds of sentences.
 
 At most SAMPLE labelled documents of each class train it; scoring covers every document, in one pass without a shuffle.
 """
@@ -32,11 +34,17 @@ from ._shared import lean, table
 P = 4
 SPAN = 7
 DECAY = 0.6
-LANDMARKS = 160
+LANDMARKS = 256
 SAMPLE = 2500  #: labelled documents of each class that train the machine
-LONGEST = 40  #: letters of a word scored at once; longer words are scored in overlapping parts
-ROUNDS = 4
-LIFT = 4  #: times as frequent in toxic documents as in clean ones, at least
+LONGEST = 40  #: letters of a word scored at once; longer words score as the worst of overlapping parts
+ROUNDS = 3
+LIFT = 4  #: times as frequent in toxic documents as in clean ones, at least, is a word that makes a sentence toxic
+PRIOR = 10.0  #: occurrences that pull the log odds of a rare feature to none
+CANDIDATES = 512  #: strings among which landmarks are picked, those of most toxic documents first
+FREQUENT = 1000  #: words of most clean documents that are examples in any case
+WORST = 3  #: sentences of each clean document that are examples in every round; in later rounds all within the margin are
+CLEAN = 3.0  #: times the weight of an error on the clean side
+END_OF_SENTENCE = r"[.!?…。！？]+(\s+|$)|[\n\r\x0b\x0c\x{85}\x{2028}\x{2029}]+"
 RIDGE = 1e-2
 FLOOR = 1e-4  #: of the largest eigenvalue; smaller ones are noise
 BITS = 5
@@ -102,8 +110,8 @@ def kernel(data, starts, ends, landmarks: "Landmarks") -> np.ndarray:
 class Landmarks:
     """Feature vectors of the landmark words, over the tuples that occur in any."""
 
-    def __init__(self, words: list[str]):
-        raw = [x.encode() for x in words]
+    def __init__(self, words: list[str | bytes]):
+        raw = [x.encode() if isinstance(x, str) else x for x in words]
         data = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum([len(x) for x in raw])
         starts = ends - [len(x) for x in raw]
@@ -191,77 +199,136 @@ def fit_machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     return w
 
 
+def sentences(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The sentences of all texts in a row, and the text of each. A dot within a word ends none."""
+    parts = pc.split_pattern(pc.replace_substring_regex(texts, END_OF_SENTENCE, "\n"), "\n")
+    return parts.flatten(), pc.list_parent_indices(parts).to_numpy()
+
+
 def vocabulary(texts: list[str]) -> tuple[np.ndarray, ...]:
-    """Distinct words in order of their hashes (bytes, starts, ends), and the pairs (text, word) that occur; a slice of the
-    texts at a time."""
-    rows, hashes, spell, at = [], [], {}, 0
+    """Distinct words in order of their hashes (bytes, starts, ends), the pairs (sentence, word) that occur, and the text of
+    each sentence; a slice of the texts at a time."""
+    rows, hashes, spell, of, at, text = [], [], {}, [], 0, 0
     for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"]), "text"):
-        w = words_of(part.column("text"))
+        each, parent = sentences(part.column("text"))
+        w = words_of(each)
         own, first, back = np.unique(w.hash, return_index=True, return_inverse=True)
         pair = np.unique(w.rows() * np.int64(max(1, len(own))) + back)
         rows.append(at + pair // max(1, len(own)))
         hashes.append(own[pair % max(1, len(own))])
+        of.append(text + parent)
         for h, i in zip(own.tolist(), first):
             if h not in spell:
                 spell[h] = w.data[w.starts[i] : w.ends[i]].tobytes()
-        at += part.num_rows
+        at, text = at + len(each), text + part.num_rows
     known = np.array(sorted(spell), np.uint64)
     raw = [spell[h] for h in known.tolist()]
-    ends = np.cumsum([len(x) for x in raw])
-    return np.frombuffer(b"".join(raw), np.uint8), ends - [len(x) for x in raw], ends, np.concatenate(rows), np.searchsorted(known, np.concatenate(hashes))
+    ends = np.cumsum([len(x) for x in raw], dtype=np.int64)
+    return np.frombuffer(b"".join(raw), np.uint8), ends - np.array([len(x) for x in raw], np.int64), ends, np.concatenate(rows), np.searchsorted(known, np.concatenate(hashes)), np.concatenate(of)
+
+
+def log_odds(data, starts, ends, bad: np.ndarray, good: np.ndarray) -> np.ndarray:
+    """Naive evidence of each feature: how much more often toxic documents have it than clean ones."""
+    n = 1 << (BITS * P)
+    b, g = np.zeros(n), np.zeros(n)
+    for who, m in code_words(data, starts, ends):
+        for index, _ in tuples(m):
+            row = np.repeat(who, index.shape[1])
+            b += np.bincount(index.ravel(), bad[row], n)
+            g += np.bincount(index.ravel(), good[row], n)
+    share = b.sum() / max(1.0, b.sum() + g.sum())
+    return np.log((b + PRIOR * share) / (g + PRIOR * (1 - share)) * (1 - share) / share).astype(np.float32)
+
+
+def pick(data, starts, ends, among: np.ndarray, weight: np.ndarray, k: int) -> list[int]:
+    """Up to k of the words ``among``: each the one for which weight times what those before leave of it is largest."""
+    if not len(among):
+        return []
+    gram = kernel(data, starts[among], ends[among], Landmarks([data[starts[i] : ends[i]].tobytes() for i in among]))
+    gram = (gram + gram.T) / 2
+    left = np.diag(gram).copy()
+    least = 0.02 * left
+    root = np.zeros((len(among), k), np.float32)
+    out: list[int] = []
+    for j in range(min(k, len(among))):
+        i = int(np.argmax(left * weight))
+        if left[i] <= least[i]:
+            break
+        out.append(int(among[i]))
+        root[:, j] = (gram[:, i] - root[:, :j] @ root[i, :j]) / np.sqrt(left[i])
+        left = np.maximum(0, left - root[:, j] ** 2)
+        left[i] = 0
+    return out
+
+
+def _first_of(group: np.ndarray) -> np.ndarray:
+    return np.r_[True, group[1:] != group[:-1]] if len(group) else np.zeros(0, bool)
 
 
 def train(texts: list[str], toxic: list[int]) -> tuple[np.ndarray, float, float] | None:
-    """(table of tuple weights, bias, threshold), or None where a class has no text."""
+    """(table of tuple weights, bias, threshold), or None where a class has no text or no text has a word. Texts of the
+    same words count each; equal scores are decided by the order of the words' hashes."""
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         return None
-    data, starts, ends, row, word = vocabulary(texts)
-    bad = np.bincount(word[y[row]], minlength=len(starts))
-    good = np.bincount(word[~y[row]], minlength=len(starts))
-    share = y.sum() / len(y)
-    # words that toxic documents have more often than chance gives any word, and clean ones hardly ever
-    many = np.maximum(bad + good, 1)
-    surprise = bad * np.log(np.maximum(bad, 1) / (many * share)) + good * np.log(np.maximum(good, 1) / (many * (1 - share)))
-    lift = (bad / y.sum()) / ((good + 1) / (~y).sum())
-    seed = np.flatnonzero((lift > LIFT) & (surprise > np.log(len(starts)) + 3))
-    if not len(seed):
-        seed = np.argsort(-(bad / y.sum() - good / (~y).sum()), kind="stable")[:1]
-    name = lambda i: data[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")
-    order = np.argsort(-bad, kind="stable")
-    positive = set(seed.tolist())
-    may = (lift > LIFT) | (good == 0)
-    clean = [i for i in order[np.argsort(-good[order], kind="stable")] if good[i] and i not in positive and ends[i] - starts[i] >= P - 1]
-    negative = set(clean[:1500]) | set(clean[:: max(1, len(clean) // 1500)])
-    score = np.zeros(len(starts), np.float32)
-    half = LANDMARKS // 2
-
+    data, starts, ends, row, word, of = vocabulary(texts)
+    if not len(starts):
+        return None
+    pair = np.unique(of[row] * np.int64(len(starts)) + word)
+    text, has = pair // len(starts), pair % len(starts)
+    nb, ng = y.sum(), (~y).sum()
+    bad, good = (np.bincount(has[m], minlength=len(starts)).astype(float) for m in (y[text], ~y[text]))
+    full = ends - starts >= P - 1  # shorter words have no feature
+    may = full & (bad / nb > LIFT * good / ng)
+    often = [i for i in np.argsort(-good, kind="stable")[:FREQUENT] if good[i] and full[i]]
+    negative = np.zeros(len(starts), bool)
+    negative[often] = True
+    table, bias = log_odds(data, starts, ends, bad, good), 0.0
     for turn in range(ROUNDS):
-        pos, neg = sorted(positive), sorted(negative)
-        # landmarks: words of toxic documents, the negative words nearest to them, frequent words
-        picked = [i for i in order if i in positive]
-        hard = sorted(neg, key=lambda i: (-score[i], i))[: half // 2] if turn else clean[:: max(1, len(clean) // (half // 2))]
-        marks = dict.fromkeys([*picked[:: max(1, len(picked) // half)][:half], *hard[: half // 2], *clean[: half // 2]])
-        landmarks = Landmarks([name(i) for i in marks])
+        score = score_words(data, starts, ends, table, bias)
+        # the worst word of each sentence; the sentences of each text, the worst first
+        order = np.lexsort((word, -score[word], row))
+        order = order[_first_of(row[order])]
+        order = order[np.lexsort((-score[word[order]], of[row[order]]))]
+        worst, own = word[order], of[row[order]]
+        place = np.arange(len(order))
+        place -= np.maximum.accumulate(np.where(_first_of(own), place, 0))
+        clean = ~y[own]
+        negative[worst[clean & ((place < WORST) | ((turn > 0) & (score[worst] > -0.5)))]] = True
+        positive = np.unique(worst[~clean & ((place == 0) | ((turn > 0) & (score[worst] > 0)))])
+        positive = positive[may[positive]]
+        if not len(positive):
+            positive = worst[~clean & full[worst]][:1] if turn == 0 else positive
+            if not len(positive):
+                break
+        others = negative & full
+        others[positive] = False
+        others = np.flatnonzero(others)
+        among = positive[np.argsort(-bad[positive], kind="stable")][:CANDIDATES]
+        marks = pick(data, starts, ends, among, bad[among], LANDMARKS * 3 // 4)
+        among = others[np.argsort(-score[others], kind="stable")][:CANDIDATES]
+        marks += pick(data, starts, ends, among, np.sqrt(good[among]), (LANDMARKS - len(marks)) * 3 // 4)
+        marks = list(dict.fromkeys(marks + often))[:LANDMARKS]
+        landmarks = Landmarks([data[starts[i] : ends[i]].tobytes() for i in marks])
         values, vectors = np.linalg.eigh(landmarks.table.T.astype(np.float64) @ landmarks.table.astype(np.float64))
         ok = values > FLOOR * values[-1]
         root = vectors[:, ok] / np.sqrt(values[ok])
-        both = np.array(pos + neg)
+        both = np.r_[positive, others]
         x = kernel(data, starts[both], ends[both], landmarks) @ root
-        mark = np.r_[np.ones(len(pos)), -np.ones(len(neg))]
-        weight = fit_machine(x, mark, np.where(mark > 0, len(neg) / max(1, len(pos)), 1.0))
-        alpha = root @ weight[:-1]
-        tab = np.zeros(1 << (BITS * P), np.float32)
-        tab[landmarks.tuples] = landmarks.table[1:] @ alpha
-        score = score_words(data, starts, ends, tab, weight[-1])
-        best = np.full(len(texts), -np.inf)
-        np.maximum.at(best, row, score[word])
-        if turn == ROUNDS - 1:
-            break
-        negative |= set(np.flatnonzero((good > 0) & (score > -0.9)).tolist()) - positive
-        top = np.flatnonzero((score[word] == best[row]) & y[row] & (score[word] > 0) & may[word])
-        positive |= set(word[top].tolist()) - negative
-    return tab, float(weight[-1]), float(_threshold(best[y], best[~y]))
+        # words that clean documents have, too, are examples of both classes, by their documents
+        p = len(positive)
+        mark = np.r_[np.ones(p), -np.ones(p + len(others))]
+        cost = np.r_[bad[positive] / nb, CLEAN * good[positive] / ng, np.maximum(1, good[others]) / ng]
+        cost[:p] /= cost[:p].sum()
+        cost[p:] /= max(cost[p:].sum(), 1e-9)
+        weight = fit_machine(x[np.r_[:p, : len(both)]], mark, cost * max(1, len(others)))
+        bias = float(weight[-1])
+        table = np.zeros(1 << (BITS * P), np.float32)
+        table[landmarks.tuples] = landmarks.table[1:] @ (root @ weight[:-1])
+    score = score_words(data, starts, ends, table, bias)
+    best = np.full(len(texts), -np.inf)
+    np.maximum.at(best, text, score[has])
+    return table, bias, float(_threshold(best[y], best[~y]))
 
 
 def _threshold(bad: np.ndarray, good: np.ndarray) -> float:
@@ -277,7 +344,12 @@ def _threshold(bad: np.ndarray, good: np.ndarray) -> float:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(doc_id, text, toxic) that train: of each class the ``sample`` documents that come first by a hash of their id."""
+    """(doc_id, text, toxic) that train: of each class the ``sample`` documents that come first by a hash of their id.
+
+    Rows with a null doc_id, or a label that is neither 0 nor 1, don't count; of several labels of one document the worst
+    holds. Null texts don't train, empty ones do, and a doc_id with several texts trains with each. Other columns, of
+    whatever name, are ignored. Empty tables give no rows, of which ``fit`` makes no machine.
+    """
     rows = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     picks = [rows.filter(f"toxic = {c}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for c in (0, 1)]
     ids = F.broadcast(picks[0].unionByName(picks[1]))  # at most twice the sample, whatever the input
@@ -328,7 +400,9 @@ def toxicity_scores(docs: DataFrame, model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model) -> DataFrame:
-    """The documents that aren't toxic, all columns and repeated rows kept; null texts stay."""
+    """The documents that aren't toxic, all columns (of whatever name) and repeated rows kept; null and empty texts stay, very
+    long ones are scored whole, and a score that equals the threshold isn't toxic. An empty table stays empty; without a
+    model all documents stay."""
     return docs if model is None else docs.mapInArrow(lean(_keep, model=model), docs.schema)
 
 
