@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,12 +20,15 @@ _FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A folder of this application under the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, a laptop) a local folder is taken and set.
+    Only where that setting is absent and all executors are threads of this machine (``local`` masters: tests, a laptop)
+    a local folder is taken and set; on a cluster its absence is an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _FOLDERS:
         base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not base:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="lexaquarry-")
             spark.sparkContext.setCheckpointDir(base)
         _FOLDERS[app] = f"{base.rstrip('/')}/lexaquarry-{app}"
@@ -55,7 +59,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends in files that survive lost executors."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove tables made by ``materialize`` that no DataFrame in use reads any more."""
+    for t in tables:
+        drop_path(t.sparkSession, t._written)
 
 
 def partitions(spark: SparkSession) -> int:
