@@ -7,14 +7,20 @@ node of one level can't pass for one of another. Equal roots mean equal texts; w
 differ have to be opened to find the paragraphs that do.
 
 All hashing is built-in functions within the scan's own stage; what is shuffled and compared are 128 bits of each hash.
+Where roots differ, the nodes of a document that its base lacks are found by look-ups in a set, in time proportional to
+both documents; the built-in functions on arrays would compare each node with each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialize, table
+from ._shared import lean, materialize, table
 
 LEAF, SECTION, ROOT = "p", "s", "d"
 ENDS = ("0", "1")  #: first digits of a paragraph's hash that end a section
@@ -43,9 +49,34 @@ def merkle_trees(docs: DataFrame) -> DataFrame:
     return sections.select("doc_id", F.sha2(F.concat(F.lit(ROOT), F.array_join("sections", "")), 256).alias("root"), "leaves", "bounds", "sections")
 
 
-def edits(left: Column, right: Column) -> Column:
-    """1-based places of the nodes of ``left`` that ``right`` lacks (both arrays of hashes)."""
-    return F.transform(F.filter(F.transform(left, lambda h, i: F.struct(h.alias("h"), (i + 1).alias("i"))), lambda x: ~F.array_contains(right, x["h"])), lambda x: x["i"])
+COMPARED = "doc_id bigint, root string, paragraphs bigint, sections bigint, base_id bigint, equal boolean, changed_sections string, changed_paragraphs string"
+_SAME = ["doc_id", "root", "paragraphs", "sections", "base_id", "equal"]
+
+
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all rows in a row, and where each row's begin (one longer). A null row has none."""
+    return np.array(column.flatten().to_pylist(), object), np.r_[0, np.cumsum(np.diff(np.asarray(column.offsets)) * np.asarray(column.is_valid()))]
+
+
+def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The 1-based places of the sections, and of the paragraphs inside those, that the base lacks. Rows that need no
+    comparison come without the base's nodes."""
+    for batch in batches:
+        nodes = {c: _lists(batch.column(c)) for c in ("own", "leaves", "bounds", "theirs", "their_leaves")}
+        part = lambda c, i: nodes[c][0][nodes[c][1][i] : nodes[c][1][i + 1]]  # noqa: E731, B023
+        changed: list[list[str]] = [[], []]
+        for i in range(batch.num_rows):
+            cs, cp = [], []
+            have = set(part("theirs", i))
+            if have:
+                lines, bounds, known = part("leaves", i), part("bounds", i), set(part("their_leaves", i))
+                for j, h in enumerate(part("own", i)):
+                    if h not in have:
+                        cs.append(j + 1)
+                        cp += [k + 1 for k in range(bounds[j - 1] if j else 0, bounds[j]) if lines[k] not in known]
+            changed[0].append(",".join(map(str, cs)))
+            changed[1].append(",".join(map(str, cp)))
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in _SAME] + [pa.array(x, pa.string()) for x in changed], names=[x.split()[0] for x in COMPARED.split(", ")])
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
@@ -56,8 +87,10 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     earlier one shares a section. equal tells whether the roots agree; the changed columns are the 1-based places of
     sections, and of paragraphs inside those sections, that the base lacks, joined by commas.
 
-    Null texts give no row. A null doc_id has itself as base (null). Repeated rows are repeated; if one doc_id has several
-    texts, its base is sought for each, and as a base it stands with its smallest root. Empty tables give no rows.
+    Null texts give no row, empty ones are one empty paragraph, very long ones are compared whole. A null doc_id has itself
+    as base (null) and is no other's. Repeated rows are repeated; if one doc_id has several texts, its base is sought for
+    each, and as a base it stands with its smallest root. Other columns, of whatever name, are ignored. Empty tables give no
+    rows.
     """
     trees = _short_trees(docs)
     places = trees.select("doc_id", "root", F.posexplode("sections").alias("i", "h"), F.size("sections").alias("n"), "bounds").withColumn("long", F.get("bounds", F.col("i")) - F.when(F.col("i") == 0, 0).otherwise(F.get("bounds", F.col("i") - 1)))
@@ -86,7 +119,7 @@ def document_bases(docs: DataFrame) -> DataFrame:
     shared = nodes.join(holders, "h").filter("base_id < doc_id")
     # whole numbers, as sums of fractions depend on their order
     weights = shared.groupBy("doc_id", "root", "base_id").agg(F.sum(F.expr(f"greatest(1L, {WEIGHT}L div n)")).alias("weight"))
-    near = weights.groupBy("doc_id", "root").agg(F.max(F.struct("weight", (-F.col("base_id")).alias("base"))).alias("x")).select("doc_id", "root", (-F.col("x.base")).alias("near_id"))
+    near = weights.groupBy("doc_id", "root").agg(F.max(F.struct("weight", F.bitwise_not("base_id").alias("turned"))).alias("x")).select("doc_id", "root", F.bitwise_not("x.turned").alias("near_id"))  # of equals the smallest
     return _compared(trees, near.join(equal, ["doc_id", "root"], "full").select("doc_id", "root", F.coalesce("equal_id", "near_id").alias("base_id")))
 
 
@@ -98,21 +131,18 @@ def _short_trees(docs: DataFrame) -> DataFrame:
 
 def _compared(trees: DataFrame, base: DataFrame) -> DataFrame:
     """Each tree against that of its base; a document that ``base`` lacks is its own."""
+    base = base.filter("doc_id is not null")
     bases = base.filter("base_id <> doc_id").select(F.col("base_id").alias("doc_id")).distinct()
     head = trees.join(bases, "doc_id", "left_semi").groupBy(F.col("doc_id").alias("base_id")).agg(F.min(F.struct("root", "sections", "leaves")).alias("b"))
-    key = lambda c: F.coalesce(F.col(c), F.lit(-(2**63)))
-    own = trees.withColumn("k", key("doc_id"))
-    found = own.join(base.select(key("doc_id").alias("k"), "root", "base_id"), ["k", "root"], "left").withColumn("base_id", F.coalesce("base_id", "doc_id"))
-    out = found.join(head, "base_id", "left").withColumns({"other": F.coalesce("b.sections", "sections"), "theirs": F.coalesce("b.leaves", "leaves")})
-    out = out.withColumn("cs", edits(F.col("sections"), F.col("other")))
-    starts = lambda s: F.when(s == 1, 0).otherwise(F.get("bounds", s - 2))
-    inside = F.flatten(F.transform("cs", lambda s: F.transform(F.slice("leaves", starts(s) + 1, F.get("bounds", s - 1) - starts(s)), lambda h, i: F.struct(h.alias("h"), (starts(s) + i + 1).alias("i")))))
-    changed = F.transform(F.filter(inside, lambda x: ~F.array_contains(F.col("theirs"), x["h"])), lambda x: x["i"])
-    return out.select(
-        "doc_id", F.lower(F.hex("root")).alias("root"), F.size("leaves").cast("bigint").alias("paragraphs"), F.size("sections").cast("bigint").alias("sections"), "base_id",
-        (F.coalesce("b.root", "root") == F.col("root")).alias("equal"),
-        F.array_join(F.col("cs").cast("array<string>"), ",").alias("changed_sections"), F.array_join(changed.cast("array<string>"), ",").alias("changed_paragraphs"),
+    # a null doc_id meets no row of base and so keeps itself
+    found = trees.join(base, ["doc_id", "root"], "left").withColumn("base_id", F.coalesce("base_id", "doc_id"))
+    out = found.join(head, "base_id", "left").withColumn("equal", F.coalesce("b.root", "root") == F.col("root"))
+    only = lambda c: F.when(~F.col("equal"), F.col(c))
+    rows = out.select(
+        "doc_id", F.lower(F.hex("root")).alias("root"), F.size("leaves").cast("bigint").alias("paragraphs"), F.size("sections").cast("bigint").alias("sections"), "base_id", "equal",
+        only("sections").alias("own"), only("leaves").alias("leaves"), only("bounds").alias("bounds"), only("b.sections").alias("theirs"), only("b.leaves").alias("their_leaves"),
     )
+    return rows.mapInArrow(lean(_changes), COMPARED)
 
 
 def op2_bases(spark: SparkSession, sf_dir: str) -> DataFrame:

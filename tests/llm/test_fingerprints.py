@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 from lexaquarry.llm import fingerprints as P
 
@@ -62,6 +63,28 @@ def test_nulls_and_nothing(spark):
     assert [(x.doc_id, x.base_id, x.paragraphs) for x in r] == [(None, None, 2), (5, 5, 1)]
 
 
+def test_null_and_the_smallest_id(spark):
+    """Rows with a null doc_id and rows with the smallest bigint are kept apart."""
+    low = -(2**63)
+    rows = [(None, "a\nb"), (low, "a\nb"), (low, "a\nb"), (None, "c"), (7, "a\nb")]
+    for f in (P.document_fingerprints, P.document_bases):
+        out = sorted(((r.doc_id, r.base_id) for r in f(cases.documents(spark, rows)).collect()), key=repr)
+        assert out == sorted([(None, None), (None, None), (low, low), (low, low), (7, low if f is P.document_bases or len(tree("a\nb")[1]) == 1 else 7)], key=repr)
+
+
+def test_many_paragraphs_in_linear_time(spark):
+    """Two texts of 200,000 lines that share one section alone."""
+    rng = random.Random(8)
+    shared = [f"shared {i}" for i in range(40)]
+    a, b = ([f"{x} {rng.random()}" for _ in range(200_000)] for x in "ab")
+    docs = spark.createDataFrame([(1, "\n".join(shared + a)), (2, "\n".join(b + shared))], "doc_id bigint, text string")
+    began = time.time()
+    r = {x.doc_id: x for x in P.document_fingerprints(docs).collect()}
+    assert time.time() - began < 60
+    changed = r[2].changed_paragraphs.split(",")
+    assert r[2].base_id == 1 and not r[2].equal and len(changed) >= 200_000 and not set(map(int, changed)) & set(range(200_002, 200_030))
+
+
 def test_levels_dont_mix(spark):
     """A text that spells the hash of another's section has another root."""
     a = tree("x")
