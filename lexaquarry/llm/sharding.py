@@ -7,8 +7,10 @@ clockwise, and a shard with room for some of them takes them by place on the rin
 alone, not on their order, balance is guaranteed, and a change of the shards moves few keys.
 
 Only the number of keys on each arc of the ring matters for the rounds. It is counted on the executors, and the driver
-works on arcs alone (shards x VNODES of them, whatever the number of keys). A key's shard then follows from its rank on
-its arc: one shuffle of 16 bytes a key.
+works on arcs alone (shards x VNODES of them, whatever the number of keys). The keys that a shard takes from an arc are
+neighbours on it, so a shard's share is a range of places: where it begins is looked up among the distinct keys, ranked by
+a shuffle of about 30 bytes each, and rows find their range in a broadcast table of at most twice as many ranges as arcs
+and shards. Rows themselves are not shuffled, whatever they carry and however many have the same key.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._shared import materialize, table
+from ._shared import materialize, release, table
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 VNODES = 128
@@ -84,8 +86,9 @@ def settle(points: list[tuple[int, str]], counts: dict[int, int], slack: float =
 def assign_shards(rows: DataFrame, key: str, shards: list[str] = SHARDS, vnodes: int = VNODES, slack: float = SLACK) -> DataFrame:
     """All columns of ``rows`` with ``shard`` and ``hops`` (full shards that the key passed) in place of columns so named.
 
-    Rows of one key are one key and go to one shard; loads are bounded in keys. Null is a key like others. Two keys of one
-    place on the ring are settled in the order of their text. An empty table gives no rows.
+    Rows of one key are one key and go to one shard; loads are bounded in keys. Null is a key like others, and so is an
+    empty text. Keys of any length count whole. Two keys of one place on the ring are settled in the order of their text.
+    Repeated rows stay, columns of any other name are kept. An empty table gives no rows.
     """
     spark = rows.sparkSession
     points = ring(shards, vnodes)
@@ -93,19 +96,34 @@ def assign_shards(rows: DataFrame, key: str, shards: list[str] = SHARDS, vnodes:
     rows = rows.drop("shard", "hops")
     names = rows.columns
     # the arc is found by a binary search in the sorted points, an array of fixed size
-    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").cast("string").alias("k"), place(F.col(f"`{key}`")).alias("h"))
     bounds = spark.createDataFrame([(i, (starts[i - 1] + 1) if i else 0, p) for i, p in enumerate(starts)] + [(0, starts[-1] + 1, RING - 1)], "arc int, low bigint, high bigint")
     shift = 63 - 12
-    spread = F.broadcast(bounds.filter("low <= high").withColumn("slot", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright("high", shift)))).select("slot", "arc", "low", "high"))
-    on = placed.withColumn("slot", F.shiftright("h", shift)).join(spread, "slot").filter("h between low and high").drop("slot", "low", "high")
-    # ranks: equal keys share one, so dense; a key's arc begins behind the previous point
+    spread = bounds.filter("low <= high").withColumn("slot", F.explode(F.sequence(F.shiftright("low", shift), F.shiftright("high", shift))))
+    # a key's arc begins behind the previous point
     turned = F.when(F.col("h") > starts[-1], F.col("h") - F.lit(RING - 1) - 1).otherwise(F.col("h"))  # RING itself is no bigint
-    ranked = materialize(on.withColumn("rank", F.dense_rank().over(Window.partitionBy("arc").orderBy(turned, F.col("k").asc_nulls_first())) - 1), "ranks")
+    keys = rows.select(F.col(f"`{key}`").cast("string").alias("k"), place(F.col(f"`{key}`")).alias("h")).distinct()
+    on = keys.withColumn("slot", F.shiftright("h", shift)).join(F.broadcast(spread), "slot").filter("h between low and high").select("arc", turned.alias("at"), "k")
+    ranked = materialize(on.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("at", F.col("k").asc_nulls_first())) - 1), "ranks")
     counts = {r[0]: r[1] + 1 for r in ranked.groupBy("arc").agg(F.max("rank")).collect()}
     plan = settle(points, counts, slack)
-    runs = spark.createDataFrame(plan, "arc int, low int, high int, shard string, hops int")
-    done = ranked.join(F.broadcast(runs), "arc").filter("rank >= low and rank < high")
-    return done.select("row.*", "shard", F.col("hops").cast("bigint").alias("hops"))
+    runs = spark.createDataFrame([(a, low, s, hop) for a, low, _, s, hop in plan], "arc int, rank int, shard string, hops bigint")
+    begin: dict[int, list[tuple]] = {}
+    for r in ranked.join(F.broadcast(runs), ["arc", "rank"]).collect():  # a row a range
+        begin.setdefault(r.arc, []).append((r.rank, r["at"], r.k, r.shard, r.hops))
+    release(ranked)
+    ranges = []
+    for arc, found in begin.items():
+        found.sort()
+        for x, y in zip(found, [*found[1:], None]):
+            ranges.append((arc, *x[1:], y is not None, y and y[1], y and y[2]))
+    ranges = spark.createDataFrame(ranges, "arc int, from_at bigint, from_k string, shard string, hops bigint, ends boolean, to_at bigint, to_k string")
+    spread = F.broadcast(spread.join(F.broadcast(ranges), "arc"))
+    placed = rows.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").cast("string").alias("k"), place(F.col(f"`{key}`")).alias("h"))
+    # whether (at, k) stands at a range's first key or behind it; null is before any text
+    behind = lambda at, k: (F.col("at") > F.col(at)) | ((F.col("at") == F.col(at)) & (F.col(k).isNull() | F.coalesce(F.col("k") >= F.col(k), F.lit(False))))
+    met = placed.withColumns({"slot": F.shiftright("h", shift), "at": turned}).join(spread, "slot").filter("h between low and high")
+    done = met.filter(behind("from_at", "from_k") & (~F.col("ends") | ~behind("to_at", "to_k")))
+    return done.select("row.*", "shard", "hops")
 
 
 def shard_of(points: list[tuple[int, str]], h: int) -> str:
@@ -114,5 +132,5 @@ def shard_of(points: list[tuple[int, str]], h: int) -> str:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shard of every document."""
-    return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id")
+    """Every document, whole, with its shard."""
+    return assign_shards(table(spark, sf_dir, "documents"), "doc_id")

@@ -1,7 +1,10 @@
 import collections
+import hashlib
 import math
+import struct
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexaquarry.llm import sharding as R
@@ -11,36 +14,61 @@ from . import cases
 SHARDS = [f"s{i}" for i in range(7)]
 
 
-def brute(places, shards, vnodes, slack):
-    """Keys (place, text) one by one in rounds; a key asks its r-th distinct shard clockwise."""
-    points = R.ring(shards, vnodes)
-    room = dict.fromkeys(shards, R.capacity(len(places), len(shards), slack))
-    walk = {}
-    for h, k in places:
-        at = next((i for i, (p, _) in enumerate(points) if p >= h), 0)
-        walk[(h, k)] = list(dict.fromkeys(points[(at + i) % len(points)][1] for i in range(len(points)))), at
+def place_of(key):
+    """A key's place, by the xxhash library."""
+    h = xxhash.xxh64(b"key", seed=42).intdigest()
+    h = xxhash.xxh64((key or "").encode(), seed=h).intdigest()
+    return xxhash.xxh64(struct.pack("<i", key is None), seed=h).intdigest() & (2**63 - 1)
+
+
+def brute(keys, shards, vnodes, slack):
+    """Keys one by one in rounds; a key asks its r-th distinct shard clockwise. Nothing of the module is used."""
+    points = sorted((int(hashlib.sha256(f"{s}#{v}".encode()).hexdigest()[:16], 16) // 2, s) for s in shards for v in range(vnodes))
+    most = max(math.ceil(len(keys) / len(shards)), math.ceil(len(keys) * (1 + slack) / len(shards) - 1e-9))
+    room = dict.fromkeys(shards, most)
+    walk, order = {}, []
+    for k in keys:
+        h = place_of(k)
+        at = next((i for i, (p, _) in enumerate(points) if p >= h), len(points))
+        walk[k] = list(dict.fromkeys(points[(at + i) % len(points)][1] for i in range(len(points))))
+        # behind the last point begins the first point's arc
+        order.append((at % len(points), h - 2**63 if at == len(points) else h, k is not None, (k or "").encode(), k))
     out = {}
-    arc_start = lambda at: points[at - 1][0]
-    order = sorted(places, key=lambda x: (walk[x][1], x[0] - R.RING if walk[x][1] == 0 and x[0] > arc_start(0) else x[0], x[1]))
     for hop in range(len(shards)):
-        for x in order:
-            if x not in out and room[walk[x][0][hop]]:
-                room[walk[x][0][hop]] -= 1
-                out[x] = (walk[x][0][hop], hop)
+        for *_, k in sorted(order, key=lambda x: x[:4]):
+            if k not in out and room[walk[k][hop]]:
+                room[walk[k][hop]] -= 1
+                out[k] = (walk[k][hop], hop)
     return out
 
 
 @pytest.mark.parametrize("slack", [0.0, 0.05, 1.0])
 def test_as_one_by_one(spark, slack):
     keys = spark.range(400).select(F.col("id").alias("doc_id"))
-    places = [(r.h, r.k) for r in keys.select(R.place(F.col("doc_id")).alias("h"), F.col("doc_id").cast("string").alias("k")).collect()]
-    want = {k: v for (_, k), v in brute(places, SHARDS, 4, slack).items()}
+    want = brute([str(i) for i in range(400)], SHARDS, 4, slack)
     got = {str(r.doc_id): (r.shard, r.hops) for r in R.assign_shards(keys, "doc_id", SHARDS, 4, slack).collect()}
     assert got == want
     loads = collections.Counter(s for s, _ in got.values())
     assert max(loads.values()) <= math.ceil(400 * (1 + slack) / 7)
 
 
+def test_ties_nulls_and_hot_keys(spark, monkeypatch):
+    """Many keys at one place, null among them, and one key of many rows."""
+    monkeypatch.setattr(R, "place", lambda key, place=R.place: F.when(key.isNull() | (F.length(key.cast("string")) < 3), F.lit(5).cast("bigint")).otherwise(place(key)))
+    rows = spark.createDataFrame([(None, "n")] * 50 + [("hot", str(i)) for i in range(300)] + [(str(i), "x" * 1000) for i in range(60)], "k string, text string")
+    out = R.assign_shards(rows, "k", SHARDS, 4, 0.05).collect()
+    assert len(out) == 410
+    by = {}
+    for r in out:
+        by.setdefault(r.k, set()).add((r.shard, r.hops))
+    assert all(len(v) == 1 for v in by.values()) and len(by) == 62
+    loads = collections.Counter(next(iter(v))[0] for v in by.values())
+    assert max(loads.values()) <= math.ceil(62 * 1.05 / 7)
+    # keys of one place are settled in the order of their text, null first
+    crowded = [None, *sorted(str(i) for i in range(60))]
+    assert [next(iter(by[k]))[1] for k in crowded] == sorted(next(iter(by[k]))[1] for k in crowded)
+
+
 def test_few_keys_move(spark):
     keys = spark.range(3000).select(F.col("id").alias("doc_id"))
     a = {r.doc_id: r.shard for r in R.assign_shards(keys, "doc_id", SHARDS, 64, 0.25).collect()}
