@@ -1,8 +1,8 @@
 """WARC files in Zstandard with a dictionary of their own.
 
 Each file holds the records of one partition of the pages, or of about FILE_BYTES of them. A dictionary is built from all
-of the file's records and stands in front in a skippable frame (magic 0x184D2A5D), then every record follows as a frame
-of its own. So a record is read with two seeks, the dictionary's and its own, and small records compress as if they were
+of the file's records, each counted whole, and stands in front in a skippable frame (magic 0x184D2A5D), then every record
+follows as a frame of its own, a warcinfo record first. So a record is read with two seeks, the dictionary's and its own, and small records compress as if they were
 together. Files of too few records for a dictionary have none.
 
 Records, their order and the dictionary depend on the partition alone: a task that is run again writes the same bytes.
@@ -28,6 +28,7 @@ DICTIONARY_BYTES = 112_640
 LEVEL = 6
 LEAST_RECORDS = 16
 DATE = "2024-01-01T00:00:00Z"
+SOFTWARE = "lexaquarry"
 FRAMES = "file string, seq int, page_id bigint, record_id string, offset bigint, length bigint, frame binary"
 
 
@@ -43,12 +44,20 @@ def record(page_id: int | None, url: str | None, html: str | None, date: str = D
     return name, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
+def info_record(file: str, date: str = DATE) -> tuple[str, bytes]:
+    """(record id, bytes) of the warcinfo record that stands first in a file."""
+    body = f"software: {SOFTWARE}\r\nformat: WARC File Format 1.1\r\n".encode()
+    name = f"urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'warcinfo|{file}|{date}')}"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{name}>", f"WARC-Date: {date}", f"WARC-Filename: {file}", "Content-Type: application/warc-fields", f"Content-Length: {len(body)}"]
+    return name, "\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+
+
 def dictionary_of(records: list[bytes], size: int) -> bytes:
     """A dictionary built from all records; empty where they don't suffice for one."""
     if len(records) < LEAST_RECORDS:
         return b""
     try:
-        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 8)), records, k=1024, d=8, f=18, accel=4).as_bytes()
+        return zstandard.train_dictionary(min(size, max(1024, sum(map(len, records)) // 8)), records, k=1024, d=8, f=18, accel=1).as_bytes()
     except zstandard.ZstdError:  # too little or too uniform content
         return b""
 
@@ -70,7 +79,7 @@ def _archive(batches: Iterator[pa.RecordBatch], file_bytes: int, dictionary_byte
             rows.append((name, 0, None, None, 0, len(frame), frame))
             at = len(frame)
         press = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=level)
-        for i, (page, record_id, data) in enumerate(held):
+        for i, (page, record_id, data) in enumerate([(None, *info_record(name, date)), *held]):
             frame = press.compress(data)
             rows.append((name, i + 1, page, record_id, at, len(frame), frame))
             at += len(frame)
@@ -91,10 +100,13 @@ def _archive(batches: Iterator[pa.RecordBatch], file_bytes: int, dictionary_byte
 
 
 def archive_frames(pages: DataFrame, file_bytes: int = FILE_BYTES, dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL, date: str = DATE) -> DataFrame:
-    """(file, seq, page_id, record_id, offset, length, frame): the frames of every file in order; seq 0 is the dictionary.
+    """(file, seq, page_id, record_id, offset, length, frame): the frames of every file in order; seq 0 is the dictionary,
+    seq 1 the warcinfo record. ``date`` is the WARC-Date of all records: the pages don't tell when they were fetched, and a
+    clock would make a task that is run again write other bytes.
 
-    A null html is an empty body, a null URL leaves the target out, a null page_id stays null; repeated pages are records
-    with the same id. Other columns are ignored; an empty table gives no rows.
+    A null html is an empty body, a null URL leaves the target out, a null page_id stays null; repeated pages, and pages of
+    the same id, are records each, those equal in all with the same record id. A body of any length is one record and one
+    frame; it closes its file. Other columns, of whatever name, are ignored; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(lean(_archive, file_bytes=file_bytes, dictionary_bytes=dictionary_bytes, level=level, date=date), FRAMES)
