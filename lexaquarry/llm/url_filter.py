@@ -2,9 +2,10 @@
 
 The filter is a table of blocks: BLOCK_BITS bits each, PROBES of them set by each listed URL, all in the one block that
 the URL's hash names. Blocks are built by a grouped bitwise or on the executors, and probing is a join on the block's
-number, so nothing depends on one machine's memory: below BROADCAST_BYTES the blocks are broadcast and the pages are not
-shuffled at all, above it block and page meet by a shuffle of (hash, key). What passes goes to an exact join on the
-canonical URL, which removes the false positives.
+number, so nothing depends on one machine's memory: below BROADCAST_BYTES (13 million listed URLs) the blocks are broadcast
+and only pages that pass are shuffled. Above it pages are shuffled twice, first with their probes by the block's number, then
+those that pass by their canonical URL; the filter then saves the second shuffle and the comparison of texts. What passes
+goes to an exact join on the canonical URL, which removes the false positives.
 """
 
 from __future__ import annotations
@@ -58,8 +59,9 @@ def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
 def listed_pages(pages: DataFrame, listed: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(page_id, url, canonical) of the pages whose canonical URL is listed (column ``url`` of ``listed``).
 
-    Null and blank URLs, listed or not, match nothing. Repeated pages are repeated, repeated listings count once; a null
-    page_id is kept. Other columns are ignored; an empty page table or list gives no rows.
+    Null and blank URLs, listed or not, match nothing; URLs of any length count whole. Repeated pages are repeated, repeated
+    listings count once; a null page_id is kept. Other columns, of whatever name, are ignored; an empty page table or list
+    gives no rows.
     """
     listed = materialize(listed.select(canonical_url(F.col("url").cast("string")).alias("canonical")).filter("canonical is not null").distinct(), "listed")
     count = listed.count()

@@ -41,6 +41,12 @@ def test_the_filter_lets_few_others_pass(spark):
     assert passes(listed) == 2000 and passes(others) < 200
 
 
+def test_long_urls(spark):
+    long = "http://h.org/" + "p/" * 100_000
+    rows = spark.createDataFrame([(1, long + "a"), (2, long + "b"), (3, long + "a?q=" + "z" * 100_000)], "page_id bigint, url string")
+    assert sorted(r.page_id for r in L.listed_pages(rows, rows.filter("page_id = 1")).collect()) == [1, 3]
+
+
 def test_nothing(spark):
     none = spark.createDataFrame([], "page_id bigint, url string")
     some = spark.createDataFrame([(1, "a.org/x"), (1, "a.org/x")], "page_id bigint, url string")
