@@ -146,6 +146,28 @@ def char_table(name: str, of) -> np.ndarray:
     return _TABLES[name]
 
 
+def runs_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of rows with the same value of a column, of a partition sorted by it."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        value = batch.column(column).to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.flatnonzero(value[1:] != value[:-1]) + 1, len(value)] if len(value) else [0]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if held and value[a] != last:
+                yield held
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = value[a]
+    if held:
+        yield held
+
+
+def flat(batches: list[pa.RecordBatch], columns) -> list[np.ndarray]:
+    """Columns of bytes, each with the kind of number that they hold, as one array each."""
+    return [np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(name)]) for name, kind in columns]
+
+
 def grams(hashes: np.ndarray, n: int, base: int = 0xD6E8FEB86659FD93) -> np.ndarray:
     """Hash of the n words from each word on (the last n - 1 entries are missing); windows over row ends are the caller's."""
     if len(hashes) < n:

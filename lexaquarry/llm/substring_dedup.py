@@ -9,6 +9,11 @@ kept). Each batch becomes one immutable run, bucketed and sorted by hash; new ba
 bucket by bucket, without shuffling the history. Hits are verified on the texts themselves: around each hit all
 PASSAGE-word windows are compared by 96 further bits of hash, which gives exact spans and sources. When a level has
 FAN_IN runs, they are compacted into one of the next level, so a fingerprint is rewritten only log times.
+
+Windows travel as blocks of bytes by parts of their hash, as many parts as the number of hits asks for, and a task takes
+its parts one after the other. Windows that contain a fingerprint of more than HOT documents travel as rows instead: their
+first places are aggregated before the shuffle, and the join with them is one that adaptive execution splits where it is
+skewed, so a passage that a third of all documents have is no task's burden.
 """
 
 from __future__ import annotations
@@ -21,14 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import Words, grams, slices, white_words
-from ._shared import drop_path, fresh, lean, materialize, new_path, partitions, table
+from ._blocks import Words, flat, grams, runs_of, slices, white_words
+from ._shared import drop_path, fresh, lean, materialize, new_path, partitions, release, table
 
 PASSAGE = 50
 GRAM = 25
 FAN_IN = 4
 FLUSH = 1 << 20
 POSITION_BITS = 24
+PART_WINDOWS = 1 << 19  #: windows of a part, all of them in memory of its task (25 bytes each)
+PARTS_A_TASK = 8
+HOT = 1 << 16  #: documents of a fingerprint above which its windows travel as rows
+HOT_BITS = 20  #: bits of the bitmap of hot fingerprints, as a power of two; what it takes for hot besides is only slower
 RUN_SCHEMA = "h bigint, doc_id bigint, pos int"
 
 
@@ -72,22 +81,39 @@ def _blocks(part: np.ndarray, columns: list[np.ndarray], names: list[str]) -> pa
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32))] + [pa.array([x[a:b].tobytes() for a, b in zip(first, ends)], pa.binary()) for x in columns], names=["part", *names])
 
 
-def _gather(batches: Iterator[pa.RecordBatch], types: list) -> list[np.ndarray]:
-    out: list[list] = [[] for _ in types]
-    for batch in batches:
-        for i, t in enumerate(types):
-            out[i] += [np.frombuffer(x.as_py(), t) for x in batch.column(1 + i)]
-    return [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, types)]
+WINDOW_TYPES = (("h", np.uint64), ("g", np.uint32), ("doc", np.int64), ("pos", np.int32), ("new", np.uint8))
+WINDOW_BLOCKS = "part int, h binary, g binary, doc binary, pos binary, new binary"
+WINDOW_ROWS = "h bigint, g bigint, doc_id bigint, pos int, new int"
 
 
-WINDOW_NAMES = ["h", "g", "doc", "pos", "new"]
-WINDOW_TYPES = [np.uint64, np.uint32, np.int64, np.int32, np.uint8]
+def hot_windows(w: Words, gram: int, passage: int, hot: np.ndarray) -> np.ndarray:
+    """Whether the least fingerprint in each passage-word window is in the bitmap; a matter of the window's words alone."""
+    g = grams(w.hash, gram) >> np.uint64(POSITION_BITS)
+    size, span = 1, passage - gram + 1
+    while 2 * size <= span:
+        g = np.minimum(g[:-size], g[size:])
+        size *= 2
+    if span > size:
+        g = np.minimum(g[: len(g) - (span - size)], g[span - size :])
+    return hot[(g & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)]
 
 
-def _windows(batches: Iterator[pa.RecordBatch], gram: int, passage: int, parts: int) -> Iterator[pa.RecordBatch]:
-    """All passage-word windows that contain a hit, in blocks by hash."""
+def _windows(batches: Iterator[pa.RecordBatch], gram: int, passage: int, parts: int, hot, rows: bool = False) -> Iterator[pa.RecordBatch]:
+    """All passage-word windows that contain a hit: those that aren't hot in blocks by hash or, with ``rows``, the hot ones
+    as rows."""
     kept: list[list[np.ndarray]] = []
     held = 0
+    marked = None
+    if hot is not None:
+        marked = np.zeros(1 << HOT_BITS, bool)
+        marked[hot.value] = True
+
+    def send() -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*kept)]
+        if rows:
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (columns[0].view(np.int64), columns[1].astype(np.int64), columns[2], columns[3], columns[4].astype(np.int32))], names=[x.split()[0] for x in WINDOW_ROWS.split(", ")])
+        return _blocks((columns[0] % np.uint64(parts)).astype(np.int64), columns, [x for x, _ in WINDOW_TYPES])
+
     for batch in batches:
         for part in slices(batch, "text"):
             w = white_words(part.column("text"))
@@ -102,55 +128,61 @@ def _windows(batches: Iterator[pa.RecordBatch], gram: int, passage: int, parts:
             np.add.at(near, where + 1, -1)
             ok = np.cumsum(near)[: len(h)] > 0
             ok &= row[: len(h)] == row[passage - 1 :] if len(h) else ok
+            if marked is not None and len(h):
+                ok &= hot_windows(w, gram, passage, marked) == rows
             at = np.flatnonzero(ok)
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
             new = part.column("new").to_numpy(zero_copy_only=False)
             kept.append([h[at], (g[at] >> np.uint64(32)).astype(np.uint32), ids[row[at]], (at - w.row[row[at]]).astype(np.int32), new[row[at]].astype(np.uint8)])
             held += len(at)
             if held >= FLUSH:
-                columns = [np.concatenate(x) for x in zip(*kept)]
-                yield _blocks((columns[0] % np.uint64(parts)).astype(np.int64), columns, WINDOW_NAMES)
+                yield send()
                 kept, held = [], 0
     if held:
-        columns = [np.concatenate(x) for x in zip(*kept)]
-        yield _blocks((columns[0] % np.uint64(parts)).astype(np.int64), columns, WINDOW_NAMES)
+        yield send()
 
 
-REPEAT_NAMES = ["doc", "pos", "source", "source_pos"]
-REPEAT_TYPES = [np.int64, np.int32, np.int64, np.int32]
+REPEAT_TYPES = (("doc", np.int64), ("pos", np.int32), ("source", np.int64), ("source_pos", np.int32))
+REPEAT_BLOCKS = "part int, doc binary, pos binary, source binary, source_pos binary"
 
 
 def _repeats(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
     """Windows of new documents that an earlier document has, with the earliest place, in blocks by document."""
-    h, g, doc, pos, new = _gather(batches, WINDOW_TYPES)
-    if not len(h):
-        return
-    order = np.lexsort((pos, doc, new, g, h))
-    h, g, doc, pos, new = h[order], g[order], doc[order], pos[order], new[order]
-    first = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
-    source = np.flatnonzero(first)[np.cumsum(first) - 1]
-    at = np.flatnonzero((new == 1) & ((doc != doc[source]) | (new != new[source])))
-    if len(at):
-        src = source[at]
-        by = np.lexsort((pos[at], doc[at]))
-        at, src = at[by], src[by]
-        yield _blocks(doc[at] % parts, [doc[at], pos[at], doc[src], pos[src]], REPEAT_NAMES)
+    for run in runs_of(batches, "part"):
+        h, g, doc, pos, new = flat(run, WINDOW_TYPES)
+        order = np.lexsort((pos, doc, new, g, h))
+        h, g, doc, pos, new = h[order], g[order], doc[order], pos[order], new[order]
+        first = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
+        source = np.flatnonzero(first)[np.cumsum(first) - 1]
+        at = np.flatnonzero((new == 1) & ((doc != doc[source]) | (new != new[source])))
+        if len(at):
+            src = source[at]
+            by = np.lexsort((pos[at], doc[at]))
+            at, src = at[by], src[by]
+            yield _blocks(doc[at] % parts, [doc[at], pos[at], doc[src], pos[src]], [x for x, _ in REPEAT_TYPES])
+
+
+def _repeat_blocks(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, pos, source, source_pos) in blocks by document."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(x).to_numpy().astype(kind) for x, kind in REPEAT_TYPES]
+            yield _blocks(columns[0] % parts, columns, [x for x, _ in REPEAT_TYPES])
 
 
 SPANS = "doc_id bigint, start_word bigint, end_word bigint, source_doc_id bigint, source_word bigint"
 
 
 def _spans(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[pa.RecordBatch]:
-    doc, pos, source, place = _gather(batches, REPEAT_TYPES)
-    if not len(doc):
-        return
-    order = np.lexsort((place, source, pos, doc))
-    doc, pos, source, place = doc[order], pos[order].astype(np.int64), source[order], place[order].astype(np.int64)
-    new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1])]
-    doc, pos, source, place = doc[new], pos[new], source[new], place[new]
-    head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)])
-    tail = np.r_[head[1:], len(doc)] - 1
-    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[head], pos[head], pos[tail] + passage, source[head], place[head])], names=[x.split()[0] for x in SPANS.split(", ")])
+    for run in runs_of(batches, "part"):
+        doc, pos, source, place = flat(run, REPEAT_TYPES)
+        order = np.lexsort((place, source, pos, doc))
+        doc, pos, source, place = doc[order], pos[order].astype(np.int64), source[order], place[order].astype(np.int64)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1]) | (source[1:] != source[:-1]) | (place[1:] != place[:-1])]
+        doc, pos, source, place = doc[new], pos[new], source[new], place[new]
+        head = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1)])
+        tail = np.r_[head[1:], len(doc)] - 1
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[head], pos[head], pos[tail] + passage, source[head], place[head])], names=[x.split()[0] for x in SPANS.split(", ")])
 
 
 class FingerprintIndex:
@@ -160,13 +192,13 @@ class FingerprintIndex:
     renames), so a lost executor or driver leaves no half run behind that a reader would take for one.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, passage: int = PASSAGE, gram: int = GRAM, buckets: int | None = None, fan_in: int = FAN_IN):
+    def __init__(self, spark: SparkSession, path: str | None = None, passage: int = PASSAGE, gram: int = GRAM, buckets: int | None = None, fan_in: int = FAN_IN, hot: int = HOT):
         if not 0 < gram <= passage:
             raise ValueError("gram must be in [1, passage]")
         if fan_in < 2:
             raise ValueError("fan_in must be at least 2")
         self.spark, self.path = spark, path or new_path(spark, "fingerprints")
-        self.passage, self.gram, self.fan_in = passage, gram, fan_in
+        self.passage, self.gram, self.fan_in, self.hot = passage, gram, fan_in, hot
         self.buckets = buckets or partitions(spark)
         self.runs: list[tuple[int, str, str]] = []  # level, folder, table
         self.count = 0
@@ -227,27 +259,49 @@ class FingerprintIndex:
         ``history`` has the texts of the documents added before, from which hits are verified."""
         pick = lambda d, new: d.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(new).alias("new")).filter("doc_id is not null and text is not null")
         run = self._write(self.fingerprints(docs), 0)
+        try:
+            spans = self._repeats_of(run, pick(docs, 1), None if history is None or not self.runs else pick(history, 0), history is not None)
+        except BaseException:
+            self._drop(run)
+            raise
+        if keep:
+            self.runs.append(run)
+            self._compact()
+        else:
+            self._drop(run)
+        return spans
+
+    def _repeats_of(self, run: tuple[int, str, str], texts: DataFrame, earlier: DataFrame | None, verify: bool) -> DataFrame:
         fresh = self.spark.table(run[2])
         inside = fresh.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h")
         hits = [fresh.join(inside, "h", "left_semi").select("doc_id", "pos", F.lit(1).alias("new"))]
         for _, _, t in self.runs:
             old = self.spark.table(t)
             hits.append(fresh.join(old, "h", "left_semi").select("doc_id", "pos", F.lit(1)))
-            if history is not None:
+            if verify:
                 hits.append(old.join(fresh, "h", "left_semi").select("doc_id", "pos", F.lit(0)))
-        places = reduce(DataFrame.union, hits).groupBy("doc_id", "new").agg(F.collect_set("pos").alias("hits"))
-        texts = pick(docs, 1)
-        if history is not None and self.runs:
-            texts = texts.unionByName(pick(history, 0))
-        parts = partitions(self.spark)
-        windows = texts.join(places, ["doc_id", "new"]).select("doc_id", "text", "new", "hits").mapInArrow(lean(_windows, gram=self.gram, passage=self.passage, parts=parts), "part int, h binary, g binary, doc binary, pos binary, new binary")
-        repeats = windows.repartition(parts, "part").mapInArrow(lean(_repeats, parts=parts), "part int, doc binary, pos binary, source binary, source_pos binary")
-        spans = materialize(repeats.repartition(parts, "part").mapInArrow(lean(_spans, passage=self.passage), SPANS), "spans")
-        if keep:
-            self.runs.append(run)
-            self._compact()
-        else:
-            self._drop(run)
+        places = materialize(reduce(DataFrame.union, hits).groupBy("doc_id", "new").agg(F.collect_set("pos").alias("hits")), "hits")
+        # a hit is in at most so many windows, and neighbours share half of them
+        windows = (places.agg(F.sum(F.size("hits"))).first()[0] or 0) * (self.passage - self.gram + 1) // 2
+        parts = max(partitions(self.spark), -(-int(windows) // PART_WINDOWS))
+        tasks = max(partitions(self.spark), -(-parts // PARTS_A_TASK))
+        # counts need no shuffle, as runs are bucketed by hash
+        bit = F.shiftrightunsigned("h", POSITION_BITS).bitwiseAND(F.lit((1 << HOT_BITS) - 1)).alias("bit")
+        counts = [self.spark.table(t).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > self.hot).select(bit) for t in (run[2], *(x[2] for x in self.runs))]
+        bits = [r.bit for r in reduce(DataFrame.union, counts).distinct().collect()]  # 2 ** HOT_BITS at most
+        hot = self.spark.sparkContext.broadcast(np.array(bits, np.int64)) if bits else None
+        rows = (texts if earlier is None else texts.unionByName(earlier)).join(places, ["doc_id", "new"]).select("doc_id", "text", "new", "hits")
+        options = {"gram": self.gram, "passage": self.passage, "parts": parts, "hot": hot}
+        blocks = rows.mapInArrow(lean(_windows, **options), WINDOW_BLOCKS)
+        repeats = blocks.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lean(_repeats, parts=parts), REPEAT_BLOCKS)
+        if hot is not None:
+            many = rows.mapInArrow(lean(_windows, **options, rows=True), WINDOW_ROWS)
+            first = many.groupBy("h", "g").agg(F.min(F.struct("new", "doc_id", "pos")).alias("first"))
+            again = many.join(first, ["h", "g"]).filter("new = 1 and (doc_id <> first.doc_id or new <> first.new)")
+            again = again.select(F.col("doc_id").alias("doc"), "pos", F.col("first.doc_id").alias("source"), F.col("first.pos").alias("source_pos"))
+            repeats = repeats.unionByName(again.mapInArrow(lean(_repeat_blocks, parts=parts), REPEAT_BLOCKS))
+        spans = materialize(repeats.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(lean(_spans, passage=self.passage), SPANS), "spans")
+        release(places)
         return spans
 
     def close(self) -> None:
@@ -258,7 +312,7 @@ class FingerprintIndex:
         drop_path(self.spark, self.path)
 
 
-def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, batches: int = 2) -> DataFrame:
+def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, batches: int = 2, hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, source_doc_id, source_word): words [start_word, end_word) of the document, at least
     ``passage`` of them, stand from source_word on in the document of the smallest doc_id that has them. Spans are as long
     as they can be with one source; spans of different sources may overlap.
@@ -273,13 +327,15 @@ def repeated_spans(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM, ba
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     if low is None:
         return spark.createDataFrame([], SPANS)
-    index = FingerprintIndex(spark, passage=passage, gram=gram)
+    index = FingerprintIndex(spark, passage=passage, gram=gram, hot=hot)
     cuts = sorted({low + (high + 1 - low) * i // batches for i in range(1, batches)} - {low})
     found = []
-    for a, b in zip([None, *cuts], [*cuts, None]):
-        part = docs.filter(" and ".join([f"doc_id >= {a}"] * (a is not None) + [f"doc_id < {b}"] * (b is not None)) or "true")
-        found.append(index.add(part, docs.filter(f"doc_id < {a}") if a is not None else None, keep=b is not None))
-    index.close()
+    try:
+        for a, b in zip([None, *cuts], [*cuts, None]):
+            part = docs.filter(" and ".join([f"doc_id >= {a}"] * (a is not None) + [f"doc_id < {b}"] * (b is not None)) or "true")
+            found.append(index.add(part, docs.filter(f"doc_id < {a}") if a is not None else None, keep=b is not None))
+    finally:
+        index.close()
     return reduce(DataFrame.union, found)
 
 

@@ -58,6 +58,28 @@ def test_spans_as_by_brute_force(spark, batches, gram):
     assert len(got) > 20
 
 
+@pytest.mark.parametrize("batches,hot", [(1, 1), (3, 2), (2, 0)])
+def test_hot_windows_and_small_parts(spark, monkeypatch, batches, hot):
+    """Passages of many documents travel as rows, and parts are small: the same spans."""
+    monkeypatch.setattr(U, "PART_WINDOWS", 50)
+    monkeypatch.setattr(U, "FLUSH", 40)
+    rng = random.Random(12)
+    house = cases.prose(rng, 30, [f"h{i}" for i in range(50)])
+    rows = sample(4) + [(300 + i, cases.prose(rng, 12) + " " + house + " " + cases.prose(rng, 12)) for i in range(25)]
+    got = {tuple(r) for r in U.repeated_spans(cases.documents(spark, rows), 10, 5, batches, hot).collect()}
+    assert got == brute(rows, 10) and sum(r[3] == 300 for r in got) >= 24
+
+
+def test_no_table_is_left_behind(spark, monkeypatch):
+    docs = cases.documents(spark, sample())
+    before = {t.name for t in spark.catalog.listTables()}
+    U.repeated_spans(docs, 10, 5)
+    monkeypatch.setattr(U.FingerprintIndex, "_repeats_of", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        U.repeated_spans(docs, 10, 5)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_production_parameters(spark):
     rng = random.Random(9)
     vocabulary = [f"t{i}" for i in range(900)]
