@@ -17,7 +17,9 @@ So a question with other numbers and names is caught, and a
 sentence that only has the same shape is not.
 
 The benchmark's windows are broadcast up to BROADCAST_WINDOWS of them: documents are then read once and nothing is
-shuffled. A larger benchmark is joined window by window through a shuffle.
+shuffled. A larger benchmark is joined window by window through a shuffle: its items send the same windows that the
+broadcast index has, and of the documents' windows only those go that pass a bitmap of the items' (16 MB, whatever the
+benchmark). Pairs of a text and an item that share a window are verified one by one. Both ways give the same leaks.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import Words, grams, slices
-from ._shared import fresh, lean, materialize, Shared, table
+from ._blocks import Words, grams, mix, slices
+from ._shared import fresh, lean, materialize, release, Shared, table
 
 WINDOW = 8
 LITERALS = 5
@@ -39,6 +41,8 @@ RUN = 13
 BROADCAST_WINDOWS = 4_000_000
 NUMBER, HEAD, NAME, UNIT = 1, 2, 3, 4
 JOINED = 6
+FILTER_BITS = 27  #: bits of the bitmap of the items' windows, as a power of two
+KEPT_ITEMS = 4096  #: items that a task keeps in parsed form between pairs
 UNITS = "km|m|cm|mm|miles?|feet|foot|ft|inch(?:es)?|yards?|kg|g|mg|grams?|kilograms?|pounds?|lbs?|ounces?|oz|tons?|l|ml|lit(?:er|re)s?|gallons?|cups?|seconds?|secs?|minutes?|mins?|hours?|hrs?|h|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|mph|kmh|kph|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|kwh|v|volts?|watts?|points?"
 _STEPS = (
     (r"[\x00-\x06\t ]+", " "),
@@ -288,58 +292,127 @@ def _clean(batches: Iterator[pa.RecordBatch], bench, column: str) -> Iterator[pa
             yield part.filter(pa.array(~bad))
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+ITEM_WINDOWS = "h bigint, n int, key bigint"
+
+
+def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The windows of each item's index."""
+    for batch in batches:
+        h, n, key = [], [], []
+        for k, text in zip(batch.column("key").to_pylist(), batch.column("item_text").to_pylist()):
+            one = Benchmark([0], [text])
+            for index in (one.index, one.folded.index):
+                for length, (have, _, _) in index.items():
+                    h.append(have)
+                    n.append(np.full(len(have), length, np.int32))
+                    key.append(np.full(len(have), k, np.int64))
+        if h:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in ([y.view(np.int64) for y in h], n, key)], names=[x.split()[0] for x in ITEM_WINDOWS.split(", ")])
+
+
+def _bit(h: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(h) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _bitmap(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """The bitmap's blocks that have a bit of this partition's windows."""
+    have: dict[int, np.ndarray] = {}
+    size = min(1 << 16, 1 << bits)
+    for batch in batches:
+        at = np.unique(_bit(batch.column("h").to_numpy().view(np.uint64), bits))
+        for block in np.unique(at // size).tolist():
+            have.setdefault(block, np.zeros(size, bool))[at[at // size == block] % size] = True
+    if have:
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([np.packbits(x).tobytes() for x in have.values()], pa.binary())], names=["block", "bits"])
+
+
+def _or_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    have: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, bits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = np.frombuffer(bits, np.uint8)
+            have[block] = have[block] | x if block in have else x
+    if have:
+        yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([x.tobytes() for x in have.values()], pa.binary())], names=["block", "bits"])
+
+
+def _text_windows(batches: Iterator[pa.RecordBatch], lengths: list[int], bitmap, bits: int) -> Iterator[pa.RecordBatch]:
+    """(h, n, t) of the windows that pass the bitmap; of a text each once."""
+    some = np.frombuffer(bitmap.value, np.uint8)
     for batch in batches:
         for part in slices(batch, "text"):
             words = canonical(part.column("text"))
-            ids = part.column("id").to_numpy(zero_copy_only=False)
+            ids = part.column("t").to_numpy()
+            found = []
             for w in (words, folded(words)):
                 row = w.rows()
                 for n in lengths:
                     at, h = windows(w, n)
-                    fits = np.diff(w.row)[row[at]] >= n
-                    if w is not words:  # windows without a folded name are there already
-                        fits &= w.first[at + n] - w.first[at] > n
-                    at, h = at[fits], h[fits]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(at), n, np.int32)), pa.array(ids[row[at]])], names=["h", "n", "id"])
+                    bit = _bit(h, bits)
+                    ok = (some[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
+                    found.append((h[ok], np.full(int(ok.sum()), n, np.int32), row[at[ok]]))
+            h, n, row = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((n, h, row))
+            h, n, row = h[order], n[order], row[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (n[1:] != n[:-1]) | (row[1:] != row[:-1])] if len(h) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(n[new]), pa.array(ids[row[new]])], names=["h", "n", "t"])
+
+
+def _against(text: str | None, item: int | None, item_text: str | None, kept: dict) -> list[tuple]:
+    """The leak of one item in one text, as ``Benchmark.find`` tells it."""
+    if text is None or item_text is None:
+        return []
+    if item_text not in kept:
+        if len(kept) >= KEPT_ITEMS:
+            kept.clear()
+        kept[item_text] = Benchmark([None], [item_text])
+    return kept[item_text].find(canonical(pa.array([text], pa.string())))
 
 
-def _verify(batches: Iterator[pa.RecordBatch], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    """Leaks of each (doc_id, text) in the items (ids, texts) that share a window with it."""
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Leaks of each (doc_id, text, item_id, item_text)."""
+    kept: dict = {}
     for batch in batches:
-        rows = []
-        for doc, text, ids, texts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", *names))):
-            rows += [(doc, ids[item], *rest) for _, item, *rest in _against(text, ids, texts)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in LEAKS.split(", ")])
+        for part in slices(batch, "text"):
+            rows = []
+            for doc, text, item, item_text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "item_text"))):
+                rows += [(doc, item, *rest) for _, _, *rest in _against(text, item, item_text, kept)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(zip(*rows))], names=[x.split()[0] for x in LEAKS.split(", ")])
 
 
-def _against(text: str | None, ids: list | None, texts: list | None) -> list[tuple]:
-    if text is None or not ids:
-        return []
-    bench, w = Benchmark(ids, texts), canonical(pa.array([text], pa.string()))
-    return bench.find(w)
+def _leaking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs (t, text, item_id, item_text) that leak."""
+    kept: dict = {}
+    for batch in batches:
+        ok = [bool(_against(*x, kept)) for x in zip(*(batch.column(c).to_pylist() for c in ("text", "item_id", "item_text")))]
+        yield batch.filter(pa.array(ok, pa.bool_()))
 
 
 def _clean_pairs(batches: Iterator[pa.RecordBatch], names: tuple[str, str], columns: list[str]) -> Iterator[pa.RecordBatch]:
+    kept: dict = {}
     for batch in batches:
-        ok = [not _against(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("text", *names)))]
-        yield batch.select(columns).filter(pa.array(ok, pa.bool_()))
-
-
-def _candidates(docs: DataFrame, items: DataFrame, how: str) -> tuple[DataFrame, tuple[str, str]]:
-    """Documents with the items that share a window with their text: windows meet by hash, texts by a hash of theirs, so a
-    text that many documents have is looked at once. Hashes only choose candidates."""
-    items = materialize(items.withColumn("key", F.xxhash64("item_id", "item_text")), "items")
-    lengths = list(range(1, WINDOW + 1))
-    rows = lambda df, name: df.mapInArrow(lean(_window_rows, lengths=lengths), "h bigint, n int, id bigint").withColumnRenamed("id", name)
-    ours = rows(items.select(F.col("key").alias("id"), F.col("item_text").alias("text")), "key").distinct()
-    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
-    theirs = rows(texts.select(F.xxhash64("text").alias("id"), "text"), "t")
-    meets = theirs.join(ours, ["h", "n"]).select("t", "key").distinct()
-    t, ids, bodies = (fresh(docs, x) for x in ("t", "item_ids", "item_texts"))
-    lists = meets.join(items, "key").groupBy(F.col("t").alias(t)).agg(F.array_sort(F.collect_list(F.struct("item_id", "item_text"))).alias("x")).select(t, F.col("x.item_id").alias(ids), F.col("x.item_text").alias(bodies))
-    return docs.join(lists, F.xxhash64(F.col("text").cast("string")) == F.col(t), how).drop(t), (ids, bodies)
+        for part in slices(batch, "text"):
+            ok = [not _against(text, *item, kept) for text, *item in zip(*(part.column(c).to_pylist() for c in ("text", *names)))]
+            yield part.select(columns).filter(pa.array(ok, pa.bool_()))
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(t, item_id, item_text), distinct: items that share a window with a text, which goes by its 64-bit hash t, so a text
+    that many documents have is looked at once for each task. Hashes only choose candidates."""
+    spark = docs.sparkSession
+    items = items.withColumn("key", F.xxhash64("item_id", "item_text"))
+    ours = materialize(items.mapInArrow(lean(_item_windows), ITEM_WINDOWS).distinct(), "item-windows")
+    lengths = sorted(r[0] for r in ours.select("n").distinct().collect())  # WINDOW of them at most
+    bitmap = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for block, bits in ours.select("h").mapInArrow(lean(_bitmap, bits=FILTER_BITS), "block int, bits binary").repartition("block").mapInArrow(lean(_or_blocks), "block int, bits binary").toLocalIterator():
+        bitmap[block * len(bits) : (block + 1) * len(bits)] = np.frombuffer(bits, np.uint8)
+    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null").select(F.xxhash64("text").alias("t"), "text")
+    theirs = texts.mapInArrow(lean(_text_windows, lengths=lengths, bitmap=shared, bits=FILTER_BITS), "h bigint, n int, t bigint").distinct()
+    meets = materialize(theirs.join(ours, ["h", "n"]).select("t", "key").distinct().join(items, "key").select("t", "item_id", "item_text"), "meets")
+    release(ours)
+    return meets
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
@@ -359,17 +432,18 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, broadcast_windows: in
     """(doc_id, item_id, doc_word, item_word, words, verbatim, changed_slots): the longest leak of each document and item,
     in template words; of equally long ones the first.
 
-    Null texts leak nothing; documents with a null doc_id are reported under null, null item_ids likewise. A doc_id with
-    several texts leaks by each of them. Repeated rows of a document give repeated rows here, repeated items give one. Items
-    without a window of enough literals can't be found. Other columns are ignored; empty tables give no rows.
+    Null and empty texts leak nothing, very long ones are searched whole; documents with a null doc_id are reported under
+    null, null item_ids likewise. A doc_id with several texts leaks by each of them. Repeated rows of a document give
+    repeated rows here, repeated items give one. Items without a window of enough literals can't be found. Other columns, of
+    whatever name, are ignored; empty tables give no rows.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     items = _items(benchmark)
     bench = _small(items, broadcast_windows)
     if bench is not None:
         return docs.mapInArrow(lean(_find, bench=bench), LEAKS)
-    pairs, names = _candidates(docs, items, "inner")
-    return pairs.mapInArrow(lean(_verify, names=names), LEAKS)
+    pairs = docs.withColumn("t", F.xxhash64("text")).join(candidates(docs, items), "t").select("doc_id", "text", "item_id", "item_text")
+    return pairs.mapInArrow(lean(_verify), LEAKS)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -378,8 +452,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_windows: int
     bench = _small(_items(benchmark), broadcast_windows)
     if bench is not None:
         return docs.mapInArrow(lean(_clean, bench=bench, column="text"), docs.schema)
-    pairs, names = _candidates(docs, _items(benchmark), "left")
-    return pairs.mapInArrow(lean(_clean_pairs, names=names, columns=docs.columns), docs.schema)
+    # one verified leak of each text is enough; the rows that have the text's hash are then judged by their own text
+    own = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
+    meets = candidates(own, _items(benchmark))
+    texts = own.select(F.xxhash64("text").alias("t"), "text").join(meets.select("t").distinct(), "t").distinct()
+    pairs = texts.join(meets, "t").select("t", "text", "item_id", "item_text")
+    t, item, body = (fresh(docs, x) for x in ("t", "leaked_item", "leaked_text"))
+    found = pairs.mapInArrow(lean(_leaking), pairs.schema).groupBy(F.col("t").alias(t)).agg(F.min(F.struct("item_id", "item_text")).alias("x")).select(t, F.col("x.item_id").alias(item), F.col("x.item_text").alias(body))
+    judged = docs.join(found, F.xxhash64(F.col("text").cast("string")) == F.col(t), "left").drop(t)
+    return judged.mapInArrow(lean(_clean_pairs, names=(item, body), columns=docs.columns), docs.schema)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
