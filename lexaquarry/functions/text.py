@@ -23,7 +23,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def trim_white(c: Column) -> Column:
     """Without Unicode white space at either end (``trim`` knows blanks alone)."""
-    return F.regexp_replace(c, r"(?U)\A\s+|(?<!\s)\s+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def or_else(c: Column, default: Column) -> Column:
@@ -93,6 +93,10 @@ def bucket(c: Column, dimension: int) -> Column:
 _ESCAPES = (("\\", "\\\\"), ('"', '\\"'), ("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\v", "\\v"))
 
 
+#: Runs of characters that print, or have an escape of their own: most texts are one, and ranges are checked fast.
+_PLAIN = r"\A[\x07-\x0D -~\u00A1-\u00AC\u00AE-\u024F\u2010-\u2027\u2030-\u205E]*+\z"
+
+
 def quoted(c: Column) -> Column:
     """A quoted string with escapes, so that different parts never join to the same text. Characters that don't print are
     written as numbers; rows without any, nearly all, skip that."""
@@ -102,5 +106,5 @@ def quoted(c: Column) -> Column:
     code = F.ascii
     number = lambda ch: F.when(code(ch) < 128, F.concat(F.lit("\\x"), F.lower(F.lpad(F.hex(code(ch)), 2, "0")))).when(code(ch) < 65536, F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code(ch)), 4, "0")))).otherwise(F.concat(F.lit("\\U"), F.lower(F.lpad(F.hex(code(ch)), 8, "0"))))
     rest = r"[^\p{L}\p{M}\p{N}\p{P}\p{S} ]"
-    safe = F.when(x.rlike(rest), F.array_join(F.transform(F.split(x, ""), lambda ch: F.when(ch.rlike(rest), number(ch)).otherwise(ch)), "")).otherwise(x)
+    safe = F.when(c.rlike(_PLAIN), x).otherwise(F.array_join(F.transform(F.split(x, ""), lambda ch: F.when(ch.rlike(rest), number(ch)).otherwise(ch)), ""))
     return F.concat(F.lit('"'), safe, F.lit('"'))

@@ -1,8 +1,9 @@
 """Texts to embed, embedders, and the plan that runs them beside the data.
 
 An embedder has ``fingerprint``, ``dimension()``, ``documents(texts)`` and ``queries(texts)``, the last two giving one
-list of numbers a text. One that also has ``chunks(document, texts)`` sees each chunk with its whole document. An embedder
-with ``column(text)`` states its vectors as a Catalyst expression, and no Python runs.
+list of numbers a text. One that also has ``chunks(document, texts)`` sees each chunk with its whole document. One with
+``matrix(texts)`` takes an Arrow array and gives a matrix of numbers, without a Python object a text. One with
+``column(text)`` states its vectors as a Catalyst expression, and no Python runs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from collections.abc import Callable, Iterator
 from functools import partial
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,37 @@ class Fixture:
         sums = let(hits, lambda h: F.transform(places, lambda d: F.aggregate(F.filter(h, lambda y: y["b"] == d), F.lit(0.0).cast("double"), lambda s, y: s + y["w"])))
         return let(sums, lambda v: let(norm(v), lambda n: F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)))
 
+    def matrix(self, texts: pa.Array) -> np.ndarray:
+        """The same vectors of an Arrow array, a row a text. Tokens are hashed by length, a byte of all at a time; counts are
+        multiples of a half, so no order of sums matters."""
+        x = pc.utf8_lower(pc.replace_substring(pc.replace_substring(pc.fill_null(texts, ""), "İ", "i"), "Σ", "σ"))
+        lists = pc.split_pattern(pc.utf8_trim(pc.replace_substring_regex(x, r"[^\p{L}\p{Nd}]+", " "), " "), " ")
+        words, row = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+        full = pc.not_equal(words, "")
+        words, row = words.filter(full), row[full.to_numpy(zero_copy_only=False)]
+        own = words.dictionary_encode()
+        raw = [x.encode() for x in own.dictionary.to_pylist()]
+        size = np.array([len(x) for x in raw], np.int64)
+        data, start = np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size
+        which = own.indices.to_numpy()
+
+        def hashed(begin: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """FNV-1a of words, each from a state on."""
+            h, n = begin.copy(), size[at]
+            for i in range(int(n.max(initial=0))):
+                more = np.flatnonzero(n > i)
+                h[more] = (h[more] ^ data[start[at[more]] + i]) * np.uint32(16777619)
+            return h
+
+        first = hashed(np.full(len(raw), 2166136261, np.uint32), np.arange(len(raw)))[which]
+        pair = np.flatnonzero(row[1:] == row[:-1]) + 1
+        second = hashed((first[pair - 1] ^ np.uint32(ord("_"))) * np.uint32(16777619), which[pair])
+        d = self._dimension
+        place = np.concatenate([row * d + first % np.uint32(d), row[pair] * d + second % np.uint32(d)])
+        out = np.bincount(place.astype(np.int64), np.r_[np.ones(len(row)), np.full(len(pair), self.PAIR)], len(texts) * d).reshape(-1, d)
+        n = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        return out / np.where(n > 0, n, 1)
+
     def documents(self, texts: list[str]) -> list[list[float]]:
         return [self._vector(x) for x in texts]
 
@@ -138,6 +172,14 @@ def _embed(batches: Iterator[pa.RecordBatch], embedder: Embedder, dimension: int
         yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("chunk_index"), pa.array(vectors, pa.list_(pa.float64()))], names=["ref", "chunk_index", "embedding"])
 
 
+def _embed_matrix(batches: Iterator[pa.RecordBatch], embedder, dimension: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        m = embedder.matrix(batch.column("text"))
+        _check([m[0]] * len(m) if len(m) else [], range(batch.num_rows), dimension)
+        offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dimension)
+        yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("chunk_index"), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], names=["ref", "chunk_index", "embedding"])
+
+
 def _embed_whole(embedder, dimension: int) -> Callable:
     def of_record(key, table):
         rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
@@ -153,6 +195,8 @@ def embed(texts: DataFrame, embedder: Embedder, documents: DataFrame | None = No
     if hasattr(embedder, "chunks") and documents is not None:
         rows = texts.select("ref", "chunk_index", "text").join(documents.select("ref", "document"), "ref")
         return rows.groupBy("ref").applyInArrow(_embed_whole(embedder, embedder.dimension()), VECTORS)
+    if hasattr(embedder, "matrix"):
+        return texts.select("ref", "chunk_index", "text").mapInArrow(partial(_embed_matrix, embedder=embedder, dimension=embedder.dimension()), VECTORS)
     if hasattr(embedder, "column"):
         return texts.select("ref", "chunk_index", embedder.column(F.col("text")).alias("embedding"))
     return texts.select("ref", "chunk_index", "text").mapInArrow(partial(_embed, embedder=embedder, dimension=embedder.dimension()), VECTORS)

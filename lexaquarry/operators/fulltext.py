@@ -1,7 +1,8 @@
 """Full-text search: postings, all-terms matching and BM25.
 
 Index tables: ``postings`` (term, chunk_id, kind, tf, len), sorted by term so that a query reads a few row groups, and the
-corpus-wide number of chunks and of tokens. Term counts and lengths run over title, heading and text together.
+corpus-wide number of chunks and of tokens. Term counts and lengths run over title, heading and text together. A table
+without an index is searched by ``scan``: one pass that splits each text once and keeps the query's terms alone.
 """
 
 from __future__ import annotations
@@ -10,25 +11,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import query_tokens, search_tokens
+from ..sources import scratch
 from .search import of_kinds
 
 K1, B = 1.2, 0.75
 LEAST_IDF = 1e-6
 
 
+def _words() -> Column:
+    """The tokens of title, heading and text; a blank between them is part of none."""
+    return search_tokens(F.concat_ws(" ", "title", "heading", "text"))
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """(term, chunk_id, kind, tf, len) of (chunk_id, kind, title, heading, text)."""
-    words = F.concat(*[search_tokens(F.col(c)) for c in ("title", "heading", "text")])
-    rows = chunks.select("chunk_id", "kind", words.alias("w")).select("chunk_id", "kind", F.size("w").alias("len"), F.explode("w").alias("term"))
+    rows = chunks.select("chunk_id", "kind", _words().alias("w")).select("chunk_id", "kind", F.size("w").alias("len"), F.explode("w").alias("term"))
     return rows.groupBy("chunk_id", "kind", "len", "term").agg(F.count(F.lit(1)).cast("int").alias("tf")).select("term", "chunk_id", "kind", "tf", "len")
 
 
 def index_size(chunks: DataFrame) -> tuple[int, int]:
     """(chunks, tokens) of the whole index, whatever a query filters."""
-    n, total = chunks.agg(F.count(F.lit(1)), F.sum(F.size(F.concat(*[search_tokens(F.col(c)) for c in ("title", "heading", "text")])))).first()
+    n, total = chunks.agg(F.count(F.lit(1)), F.sum(F.size(_words()))).first()
     return n, int(total or 0)
 
 
+def scan(chunks: DataFrame, text: str, k: int | None, kinds=None) -> DataFrame:
+    """What ``search`` finds in the postings of these chunks (chunk_id, kind, title, heading, text), without them; with k
+    None all that match."""
+    terms = query_tokens(text, chunks.sparkSession)
+    distinct = sorted(set(terms))
+    rows = chunks.select("chunk_id", "kind", _words().alias("w")).select("chunk_id", "kind", F.size("w").alias("len"), F.filter("w", lambda x: x.isin(distinct)).alias("w"))
+    count = lambda t: F.size(F.filter("w", lambda x: x == t))
+    counts = F.array(*[F.struct(F.lit(t).alias("term"), count(t).alias("tf")) for t in distinct]) if distinct else F.array().cast("array<struct<term:string,tf:int>>")
+    rows = scratch.written(rows.select("chunk_id", "kind", "len", F.when(F.size("w") > 0, F.filter(counts, lambda x: x["tf"] > 0)).alias("found")), "scan")
+    n, total = rows.agg(F.count(F.lit(1)), F.sum("len")).first()
+    hits = rows.filter("found is not null").select("chunk_id", "kind", "len", F.inline("found"))
+    return match(hits, terms, (n, int(total or 0)), n if k is None else k, kinds)
+
+
 def idf(n: Column, chunks: Column) -> Column:
     x = F.ln((chunks - n + 0.5) / (n + 0.5))
     return F.when(x > 0, x).otherwise(F.lit(LEAST_IDF))

@@ -3,15 +3,21 @@
 Each step writes its table into the folder of a new generation, reads it back, and goes on from there, so a lost executor
 costs the running step alone. Nothing is visible until all tables are written and checked: then CURRENT is replaced.
 One writer at a time; an update whose base was replaced meanwhile stops with ``StaleUpdatePlan``.
+
+An update writes a segment of the added records and lists what it takes out of older segments; the rest of the index stays
+where it is. Segments of about one size are merged when FAN_IN of them have come together, so a chunk is written again only
+log times; ``compact`` merges all. What an update reads of the whole index are refs and hashes, for the fingerprint.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +30,10 @@ from ..sources import files
 from ..sources.snapshot import Snapshot, current
 
 
+FAN_IN = 8  #: segments of one size that are merged
+FEW = 1000  #: refs up to which a lookup is a filter that the scan prunes row groups by
+
+
 @dataclass
 class BuildOptions:
     embedder: embedding.Embedder | None = None
@@ -80,9 +90,15 @@ class _Generation:
         df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def publish(self, manifest: dict) -> None:
+    def write_manifest(self, manifest: dict) -> None:
         files.replace(self.spark, f"{self.base}/manifest.json", json.dumps(manifest, indent=1, sort_keys=True))
         files.remove(self.spark, f"{self.base}/steps")
+
+    def publish(self, manifest: dict, over: str | None = None) -> None:
+        """Make this the current generation; with ``over``, only if that still is."""
+        self.write_manifest(manifest)
+        if over is not None and current(self.spark, self.path) != over:
+            raise C.StaleUpdatePlan(f"{self.path} was replaced while its next generation was made")
         files.replace(self.spark, f"{self.path}/CURRENT", self.name)
 
     def drop(self) -> None:
@@ -108,10 +124,17 @@ def assign_ids(write: Callable[[str, DataFrame], DataFrame], sections: DataFrame
 CHUNK_COLUMNS = ("chunk_id", "ref", "kind", "title", "chunk_index", "heading", "content", "context_prefix", "parent_chunk_id", "is_parent")
 
 
-def _old_vectors(old: Snapshot) -> DataFrame:
+def _of_refs(rows: DataFrame, refs: DataFrame) -> DataFrame:
+    """Rows of the given refs. Few refs become a filter, by which scans of tables in order of refs skip what they can."""
+    few = [r[0] for r in refs.select("ref").limit(FEW + 1).collect()]
+    return rows.filter(F.col("ref").isin(few)) if len(few) <= FEW else rows.join(refs.select("ref"), "ref", "left_semi")
+
+
+def _old_vectors(old: Snapshot, refs: DataFrame) -> DataFrame:
     mode, _ = old.vector_setup()
     v = V.from_int8(F.col("embedding")) if mode == C.INT8 else F.col("embedding").cast("array<double>")
-    return old.chunks().select("chunk_id", "ref", "title", "heading", "content", "context_prefix").join(old.table("vectors").select("chunk_id", v.alias("embedding")), "chunk_id")
+    chunks = _of_refs(old.chunks().select("chunk_id", "ref", "title", "heading", "content", "context_prefix"), refs)
+    return chunks.join(_of_refs(old.table("vectors"), refs).select("chunk_id", v.alias("embedding")), "chunk_id")
 
 
 def _plan(gen: _Generation, records: DataFrame, options: BuildOptions, old: Snapshot | None, mode: str, base: int):
@@ -122,8 +145,8 @@ def _plan(gen: _Generation, records: DataFrame, options: BuildOptions, old: Snap
     numbered, last = assign_ids(gen.write, sections, base)
     chunks = gen.write("steps/chunks", numbered.select(*CHUNK_COLUMNS))
     wanted = chunks.filter("not is_parent")
-    planned = gen.write("steps/planned", reuse.split(wanted, _old_vectors(old) if old else None))
-    old_records = old.table("records") if old else None
+    planned = gen.write("steps/planned", reuse.split(wanted, _old_vectors(old, records) if old else None))
+    old_records = _of_refs(old.table("records"), records) if old else None
     plan = reuse.summary(planned, records, old_records)
     text = embedding.embedding_text(*[F.col(c) for c in ("title", "heading", "content", "context_prefix")])
     misses = planned.filter("old_embedding is null").select("ref", "chunk_index", text.alias("text"))
@@ -162,18 +185,23 @@ def integrity_problems(records: DataFrame, chunks: DataFrame, vectors: DataFrame
     )
 
 
-def _finish(gen: _Generation, records: DataFrame, chunks: DataFrame, vectors: DataFrame, manifest: dict) -> dict:
+def _segment(gen: _Generation, chunks: DataFrame, vectors: DataFrame, records: DataFrame) -> tuple[int, int, int]:
+    """Writes the tables of a segment besides its records, and checks them: (chunks, indexed chunks, indexed tokens)."""
     chunks = gen.write("chunks", chunks, "ref", "chunk_index")
-    vectors = gen.write("vectors", vectors)
+    vectors = gen.write("vectors", vectors, "ref")
     text = _index_text(chunks)
     gen.write("postings", fulltext.postings(text), "term")
-    manifest["indexed_chunks"], manifest["indexed_tokens"] = fulltext.index_size(text)
     bad = integrity_problems(records, chunks, vectors).head()
     if bad:
         raise C.IntegrityError(f"{bad[0]}: chunk {bad[1]}")
-    manifest["content_fingerprint"] = R.fingerprint(records).first()[0]
-    manifest["records"], manifest["chunks"] = records.count(), chunks.count()
-    return manifest
+    return chunks.count(), *fulltext.index_size(text)
+
+
+def _finish(gen: _Generation, records: DataFrame, chunks: DataFrame, vectors: DataFrame, manifest: dict) -> dict:
+    """The manifest of a generation of one segment."""
+    n, indexed, tokens = _segment(gen, chunks, vectors, records)
+    manifest = {k: v for k, v in manifest.items() if k not in ("segments", "dead")}
+    return manifest | {"records": records.count(), "chunks": n, "indexed_chunks": indexed, "indexed_tokens": tokens, "content_fingerprint": R.fingerprint(records).first()[0]}
 
 
 def rebuild(spark: SparkSession, path: str, records: DataFrame, options: BuildOptions) -> BuildResult:
@@ -220,33 +248,48 @@ def update(spark: SparkSession, path: str, added: DataFrame | None, removed, opt
         raise ValueError(f"the index keeps {mode} vectors, not {options.quantization}")
     if options.embedder is not None and (options.embedder.fingerprint.strip() != str(old.manifest["embedder_fingerprint"]).strip() or options.embedder.dimension() != dimension):
         raise ValueError("the index was made by another embedder")
-    gen = _Generation(spark, path)
+    was = old.generation
+    gen, newest = _Generation(spark, path), None
     try:
         gone = gen.write("steps/removed", R.removed_refs(spark, removed))
         new = None
         if added is not None and not added.isEmpty():
             if options.embedder is None:
                 raise ValueError("adding records needs an embedder")
-            new = gen.write("steps/added", R.validated(added))
+            new = gen.write("records", R.validated(added), "ref")
             R.require_distinct(new, "added")
             R.require_disjoint(new, gone)
             R.require_planned(new, options.max_planned_records)
+        if old.manifest["schema_version"] != C.SCHEMA_VERSION:
+            newest = _newest(old)
+            old = Snapshot(spark, path, newest.name)
+        elif merge := _due(old):
+            newest = _merged(old, merge)
+            old = Snapshot(spark, path, newest.name)
         changed = gone if new is None else gone.union(new.select("ref"))
-        kept = lambda t: t.join(changed, "ref", "left_anti")
-        records, chunks, vectors = kept(old.table("records")), kept(_with_parent_mark(old.chunks())), kept(old.table("vectors"))
-        last, plan, n = old.manifest["last_chunk_id"], reuse.Plan(0, 0, 0), 0
+        seq = max(x["seq"] for x in old.segments) + 1
+        lost = gen.write("dead_refs", _of_refs(old.table("records"), changed).select("ref", F.lit(seq).cast("bigint").alias("seq")))
+        text = gen.write("steps/lost", _of_refs(_with_parent_mark(old.chunks()), changed))
+        gen.write("dead_chunks", text.select("chunk_id"))
+        lost_records, lost_chunks, removed_count = lost.count(), text.count(), lost.join(gone, "ref", "left_semi").count()
+        lost_indexed, lost_tokens = fulltext.index_size(_index_text(text))
+        m, last, plan, n = old.manifest, old.manifest["last_chunk_id"], reuse.Plan(0, 0, 0), 0
+        size, indexed, tokens = 0, 0, 0
         if new is not None:
-            more, more_vectors, plan, last = _plan(gen, new, options, old, mode, last)
-            records, chunks, vectors = records.unionByName(new), chunks.select(*CHUNK_COLUMNS).unionByName(more), vectors.unionByName(more_vectors)
-            n = new.count()
-        removed_count = old.table("records").join(gone, "ref", "left_semi").count()
-        rows = gen.write("records", records, "ref")
-        manifest = _finish(gen, rows, chunks.select(*CHUNK_COLUMNS), vectors, old.manifest | {"schema_version": C.SCHEMA_VERSION, "last_chunk_id": last, "updated_at": _now()})
-        if current(spark, path) != old.generation:
-            raise C.StaleUpdatePlan(f"{path} was replaced while the update was planned")
-        gen.publish(manifest)
+            more, vectors, plan, last = _plan(gen, new, options, old, mode, last)
+            n, (size, indexed, tokens) = new.count(), _segment(gen, more, vectors, new)
+        pairs = old.table("records").select("ref", "content_hash").join(lost.select("ref"), "ref", "left_anti")
+        segments = old.segments + ([{"name": gen.name, "seq": seq, "chunks": size}] if new is not None else [])
+        manifest = m | {
+            "schema_version": C.SCHEMA_VERSION, "last_chunk_id": last, "updated_at": _now(), "segments": segments, "dead": old.dead + ([gen.name] if lost_records else []),
+            "records": m["records"] - lost_records + n, "chunks": m["chunks"] - lost_chunks + size, "indexed_chunks": m["indexed_chunks"] - lost_indexed + indexed, "indexed_tokens": m["indexed_tokens"] - lost_tokens + tokens,
+            "content_fingerprint": R.fingerprint(pairs if new is None else pairs.unionByName(new.select("ref", "content_hash"))).first()[0],
+        }
+        gen.publish(manifest, was)
     except BaseException:
         gen.drop()
+        if newest is not None:
+            newest.drop()
         raise
     return UpdateResult(path, n, removed_count, manifest["records"], manifest["chunks"], plan.reused, plan.embedded, manifest["content_fingerprint"])
 
@@ -255,26 +298,79 @@ def _with_parent_mark(chunks: DataFrame) -> DataFrame:
     return chunks if "is_parent" in chunks.columns else chunks.withColumn("is_parent", F.lit(False))
 
 
-def migrate(spark: SparkSession, path: str) -> int:
-    """Brings an index of an older version to the newest, as a new generation: columns that it lacks get their defaults and,
-    before version 4, records their present hash. Gives the version it had."""
+def _due(old: Snapshot) -> list[dict] | None:
+    """Segments of one size, by powers of FAN_IN, that are to be merged."""
+    tiers: dict[int, list[dict]] = {}
+    for x in old.segments:
+        tiers.setdefault(max(0, int(math.log(max(1, x["chunks"]), FAN_IN))), []).append(x)
+    return next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= FAN_IN), None)
+
+
+def _merged(old: Snapshot, segments: list[dict]) -> _Generation:
+    """A generation, not yet published, in which one segment has the live rows of the given ones."""
+    gen = _Generation(old.spark, old.path)
+    try:
+        gen.write("records", old.live("records", segments), "ref")
+        chunks = gen.write("chunks", old.live("chunks", segments), "ref", "chunk_index")
+        gen.write("vectors", old.live("vectors", segments), "ref")
+        gen.write("postings", old.live("postings", segments), "term")
+        rest = [x for x in old.segments if x not in segments]
+        dead = []
+        if rest and old.dead:
+            # what was taken out of the merged segments is gone for good
+            inside = reduce(DataFrame.union, [old.spark.read.parquet(f"{old.path}/{x['name']}/chunks").select("chunk_id") for x in segments])
+            gen.write("dead_chunks", old.dead_table("dead_chunks").join(inside, "chunk_id", "left_anti"))
+            gen.write("dead_refs", old.dead_table("dead_refs").groupBy("ref").agg(F.max("seq").alias("seq")))
+            dead = [gen.name]
+        one = {"name": gen.name, "seq": max(x["seq"] for x in segments), "chunks": chunks.count()}
+        gen.write_manifest(old.manifest | {"segments": [*rest, one], "dead": dead})
+    except BaseException:
+        gen.drop()
+        raise
+    return gen
+
+
+def compact(spark: SparkSession, path: str) -> bool:
+    """Merges all segments of an index into one, as a new generation; False where there is nothing to merge."""
     old = Snapshot(spark, path)
-    version = old.manifest["schema_version"]
-    if version == C.SCHEMA_VERSION:
-        return version
-    gen = _Generation(spark, path)
+    if len(old.segments) == 1 and not old.dead:
+        return False
+    gen = _merged(old, old.segments)
+    try:
+        gen.publish(files.read_json(spark, f"{gen.base}/manifest.json"), old.generation)
+    except BaseException:
+        gen.drop()
+        raise
+    return True
+
+
+def _newest(old: Snapshot) -> _Generation:
+    """A generation, not yet published, of the newest version: columns that the old one lacks get their defaults and, before
+    version 4, records their present hash."""
+    gen = _Generation(old.spark, old.path)
     try:
         records = old.table("records")
-        if version < 4:
+        if old.manifest["schema_version"] < 4:
             records = records.withColumn("content_hash", R.content_hash())
         rows = gen.write("records", records, "ref")
         chunks = _with_parent_mark(old.chunks()).select(*CHUNK_COLUMNS)
         last = chunks.agg(F.coalesce(F.max("chunk_id"), F.lit(0))).first()[0]
-        manifest = {"last_chunk_id": last} | old.manifest | {"schema_version": C.SCHEMA_VERSION, "updated_at": _now()}
-        manifest = _finish(gen, rows, chunks, old.table("vectors"), manifest)
-        if current(spark, path) != old.generation:
-            raise C.StaleUpdatePlan(f"{path} was replaced during its migration")
-        gen.publish(manifest)
+        gen.write_manifest(_finish(gen, rows, chunks, old.table("vectors"), {"last_chunk_id": last} | old.manifest | {"schema_version": C.SCHEMA_VERSION, "updated_at": _now()}))
+    except BaseException:
+        gen.drop()
+        raise
+    return gen
+
+
+def migrate(spark: SparkSession, path: str) -> int:
+    """Brings an index of an older version to the newest, as a new generation. Gives the version it had."""
+    old = Snapshot(spark, path)
+    version = old.manifest["schema_version"]
+    if version == C.SCHEMA_VERSION:
+        return version
+    gen = _newest(old)
+    try:
+        gen.publish(files.read_json(spark, f"{gen.base}/manifest.json"), old.generation)
     except BaseException:
         gen.drop()
         raise
@@ -282,9 +378,10 @@ def migrate(spark: SparkSession, path: str) -> int:
 
 
 def vacuum(spark: SparkSession, path: str) -> list[str]:
-    """Removes generations that aren't current; readers that still have one open lose it."""
-    now = current(spark, path)
-    gone = [x for x in files.names(spark, path) if x.startswith("gen-") and x != now]
+    """Removes generations that the current one doesn't need; readers that still have one open lose it."""
+    now = Snapshot(spark, path)
+    needed = {now.generation, *(x["name"] for x in now.segments), *now.dead}
+    gone = [x for x in files.names(spark, path) if x.startswith("gen-") and x not in needed]
     for x in gone:
         files.remove(spark, f"{path}/{x}")
     return gone

@@ -16,6 +16,7 @@ from ..functions import vectors as V
 from ..operators import chunking, context, embedding, fulltext, fusion, records, reuse, search
 from ..provider import chat, failures
 from ..sources import adapters, scratch
+from ..sources.snapshot import Snapshot
 from . import build
 
 QUERIES: dict = {}
@@ -48,7 +49,7 @@ def normal(spark: SparkSession, sf_dir: str, labelled: bool = True) -> DataFrame
     return records.validated(documents(spark, sf_dir, labelled))
 
 
-# SQL that the oracles share ------------------------------------------------------------------------------------------
+# SQL that the oracles share
 
 _W = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -98,7 +99,27 @@ def _cosine(a: str, b: str) -> str:
 
 _SCORE = "round(greatest(0, least(1, 1 - distance)), 6)"
 
-# records -------------------------------------------------------------------------------------------------------------
+_INDEXES: dict[tuple, str] = {}
+DIMENSION = 32
+
+
+def _built(spark, sf_dir, name: str, make) -> Snapshot:
+    """The index of that name, built once a session for each folder of tables by ``make(path)``."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    if at not in _INDEXES:
+        path = f"{scratch.folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        make(path)
+        _INDEXES[at] = path
+    return Snapshot(spark, _INDEXES[at])
+
+
+def _index(spark, sf_dir) -> Snapshot:
+    """All documents in windows of words."""
+    options = build.BuildOptions(embedding.Fixture(dimension=DIMENSION), policy=chunking.Flat(WINDOW, OVERLAP))
+    return _built(spark, sf_dir, "documents", lambda path: build.rebuild(spark, path, documents(spark, sf_dir, False), options))
+
+
+# records
 
 
 @query(f"SELECT ref, kind, title, source_ref, body_format, body_text, CASE WHEN quality IS NULL THEN '' ELSE 'quality=' || quality || ',toxic=' || toxic END AS metadata FROM ({_RECORDS})")
@@ -122,14 +143,15 @@ def corpus_fingerprint(spark, sf_dir):
 
 @query(f"SELECT kind, count(*) AS records FROM ({_RECORDS}) GROUP BY kind")
 def stats_by_kind(spark, sf_dir):
-    """S11."""
-    return normal(spark, sf_dir, False).groupBy("kind").agg(F.count(F.lit(1)).alias("records"))
+    """What an opened index says of itself."""
+    stats = _index(spark, sf_dir).stats()
+    return spark.createDataFrame(sorted(stats.kinds.items()), "kind string, records bigint")
 
 
 @query(f"SELECT ref, kind, title FROM ({_RECORDS}) WHERE kind IN ('de', 'fr')")
 def records_filter(spark, sf_dir):
-    """Listed kinds, blank ones ignored."""
-    return records.pick(normal(spark, sf_dir, False), kinds=[" de ", "fr", " "]).select("ref", "kind", "title").orderBy("ref")
+    """Listed kinds of an index, blank ones ignored."""
+    return _index(spark, sf_dir).records(kinds=[" de ", "fr", " "]).select("ref", "kind", "title")
 
 
 @query("SELECT text AS ref, count(*) AS records FROM documents GROUP BY text HAVING count(*) > 1")
@@ -138,15 +160,15 @@ def duplicate_refs(spark, sf_dir):
     return records.duplicates(table(spark, sf_dir, "documents").select(F.col("text").alias("ref")))
 
 
-@query("SELECT ref, CASE WHEN ref = '' THEN 'record ref is required' WHEN body_format <> 'plaintext' THEN 'unsupported body format \"' || body_format || '\"' END AS error FROM (SELECT lang AS ref, CASE WHEN quality = 1 THEN 'plaintext' ELSE 'html' END AS body_format FROM documents JOIN labels USING (doc_id))")
+@query("SELECT ref, CASE WHEN ref = '' THEN 'record ref is required' WHEN body_format <> 'plaintext' THEN 'unsupported body format \"' || body_format || '\"' END AS error FROM (SELECT lang AS ref, CASE WHEN quality = 1 THEN 'plaintext' ELSE 'html' END AS body_format FROM documents LEFT JOIN labels USING (doc_id))")
 def validate_records(spark, sf_dir):
     """what is wrong with a record."""
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     rows = rows.select(F.col("lang").alias("ref"), F.when(F.col("quality") == 1, "plaintext").otherwise("html").alias("body_format"), F.col("text").alias("body_text"))
     return records.normalize(rows).select("ref", "error")
 
 
-# chunks --------------------------------------------------------------------------------------------------------------
+# chunks
 
 
 @query(f"SELECT doc_id, len({_words('text')}) AS words FROM documents")
@@ -180,18 +202,6 @@ def split_section(spark, sf_dir):
     return _split(spark, sf_dir).select("ref", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.array_join(T.words(F.col("content")), " ").alias("words"))
 
 
-@query(f"""
-WITH w AS (SELECT ref, kind, title, source_ref, {_words('body_text')} AS w FROM ({_RECORDS}) WHERE kind = 'fr'), i AS (
-  SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(w) - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT)) AS i FROM w WHERE len(w) > 0
-) SELECT ref, kind, title, source_ref, title AS heading, i AS chunk_index, len(w[i * {WINDOW - OVERLAP} + 1 : i * {WINDOW - OVERLAP} + {WINDOW}]) AS words FROM i
-""")
-def sections_scan(spark, sf_dir):
-    """Chunks of the listed kinds with their record's fields, in order."""
-    fields = records.pick(normal(spark, sf_dir, False), kinds=["fr"]).select("ref", "kind", "title", "source_ref")
-    rows = _split(spark, sf_dir).drop("kind", "title").join(fields, "ref").orderBy("ref", "chunk_index")
-    return rows.select("ref", "kind", "title", "source_ref", "heading", F.col("chunk_index").cast("bigint").alias("chunk_index"), T.count_words(F.col("content")).alias("words"))
-
-
 @query(f"""
 SELECT 'conv-' || conv_id AS ref, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, role AS heading, {_trim("replace(text, chr(13) || chr(10), chr(10))")} AS content
 FROM conversations WHERE {_trim("text")} <> ''
@@ -207,31 +217,49 @@ def _late(spark, sf_dir) -> DataFrame:
     return chunking.chunk(rows, chunking.ByKind({"conversation": chunking.Late(WINDOW, 0, OVERLAP)}, chunking.Late(WINDOW, 4 * WINDOW)))
 
 
-@query()
+#: Parents of four windows of a document's words, or a turn each, and their windows where there is more than one.
+_LATE = f"""
+WITH t AS (
+  SELECT 'doc-' || doc_id AS ref, {_words('text')} AS w, true AS whole FROM documents
+), p AS (
+  SELECT ref, i AS place, w[i * {4 * WINDOW} + 1 : (i + 1) * {4 * WINDOW}] AS w, {WINDOW} AS step FROM (SELECT ref, w, unnest(range(0, ceil(len(w) / {4 * WINDOW}.0)::BIGINT)) AS i FROM t)
+  UNION ALL SELECT 'conv-' || conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn), {_words("text")}, {WINDOW - OVERLAP} FROM conversations WHERE {_trim("text")} <> ''
+), n AS (
+  SELECT *, CASE WHEN len(w) > {WINDOW} THEN 1 + ceil((len(w) - {WINDOW}) / step::DOUBLE)::BIGINT ELSE 0 END AS children FROM p
+), f AS (
+  SELECT *, coalesce(sum(1 + children) OVER (PARTITION BY ref ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM n
+), late AS (
+  SELECT ref, first AS chunk_index, -1::BIGINT AS parent_index, children > 0 AS is_parent, w FROM f
+  UNION ALL SELECT ref, first + 1 + i, first, false, w[i * step + 1 : i * step + {WINDOW}] FROM (SELECT *, unnest(range(0, children)) AS i FROM f)
+)
+"""
+
+
+@query(_LATE + "SELECT ref, chunk_index, parent_index, is_parent, array_to_string(w, ' ') AS words FROM late")
 def late_chunk(spark, sf_dir):
     """Parents with children, by kind."""
-    return chunking.mark_parents(_late(spark, sf_dir))
+    rows = _late(spark, sf_dir)
+    return rows.select("ref", *[F.col(c).cast("bigint").alias(c) for c in ("chunk_index", "parent_index")], "is_parent", F.array_join(T.words(F.col("content")), " ").alias("words"))
 
 
-@query("SELECT '' AS ref, 0::BIGINT AS chunk_index, 0::BIGINT AS parent_index WHERE false")
+@query(_LATE + """, v AS (SELECT ref, chunk_index, CASE chunk_index % 7 WHEN 3 THEN chunk_index + 1 WHEN 5 THEN 1000000 ELSE parent_index END AS parent_index FROM late)
+SELECT ref, chunk_index, parent_index FROM v WHERE parent_index <> -1 AND (parent_index >= chunk_index OR (ref, parent_index) NOT IN (SELECT ref, chunk_index FROM late))""")
 def lineage_violations(spark, sf_dir):
-    """there must be none."""
-    return chunking.lineage_violations(_late(spark, sf_dir)).withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "parent_index")})
+    """some chunks get a later chunk, or none that there is, as parent."""
+    at = F.col("chunk_index") % 7
+    rows = _late(spark, sf_dir).withColumn("parent_index", F.when(at == 3, F.col("chunk_index") + 1).when(at == 5, 1_000_000).otherwise(F.col("parent_index")))
+    return chunking.lineage_violations(rows).withColumns({c: F.col(c).cast("bigint") for c in ("chunk_index", "parent_index")})
 
 
-@query(f"""
-WITH w AS (SELECT 'doc-' || doc_id AS ref, len({_words('text')}) AS n FROM documents), i AS (
-  SELECT ref, unnest(range(0, 1 + greatest(0, ceil((n - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT)) AS chunk_index FROM w WHERE n > 0
-) SELECT ref, chunk_index, row_number() OVER (ORDER BY ref, chunk_index) AS chunk_id FROM i
-""")
+@query(_LATE + ", i AS (SELECT *, row_number() OVER (ORDER BY ref, chunk_index) AS chunk_id FROM late) SELECT i.ref, i.chunk_index, i.chunk_id, coalesce(p.chunk_id, 0) AS parent_chunk_id FROM i LEFT JOIN i p ON p.ref = i.ref AND p.chunk_index = i.parent_index")
 def id_assign(spark, sf_dir):
-    """Ids in order of (ref, chunk_index) without a global sort of chunks."""
-    sections = scratch.written(_split(spark, sf_dir), "sections")
+    """Ids in order of (ref, chunk_index) without a global sort of chunks, and ids of parents."""
+    sections = scratch.written(_late(spark, sf_dir), "sections")
     rows, _ = build.assign_ids(lambda name, df: scratch.written(df, name), sections, 0)
-    return rows.select("ref", F.col("chunk_index").cast("bigint").alias("chunk_index"), F.col("chunk_id").cast("bigint").alias("chunk_id"))
+    return rows.select("ref", *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in ("chunk_index", "chunk_id", "parent_chunk_id")])
 
 
-# text ----------------------------------------------------------------------------------------------------------------
+# text
 
 
 @query(f"SELECT doc_id, len(t) AS tokens, len(list_distinct(t)) AS distinct_tokens, md5(array_to_string(t, ' ')) AS joined FROM (SELECT doc_id, {_tokens('text')} AS t FROM documents)")
@@ -241,32 +269,50 @@ def tokenize(spark, sf_dir):
     return t.select("doc_id", F.size("t").cast("bigint").alias("tokens"), F.size(F.array_distinct("t")).cast("bigint").alias("distinct_tokens"), F.md5(F.array_join("t", " ")).alias("joined"))
 
 
-@query(f"SELECT token, {_fnv('token')} AS hash, {_fnv('token')} % 64 AS bucket FROM (SELECT DISTINCT unnest({_tokens('text')}) AS token FROM benchmark)")
+@query(f"SELECT token, {_fnv('token')} AS hash, {_fnv('token')} % 64 AS bucket FROM (SELECT DISTINCT unnest({_tokens('text')}) AS token FROM documents)")
 def fnv_bucket(spark, sf_dir):
     """E9."""
-    t = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
+    t = table(spark, sf_dir, "documents").select(F.explode(T.tokens(F.col("text"))).alias("token")).distinct()
     return t.select("token", T.fnv1a(F.col("token")).alias("hash"), T.bucket(F.col("token"), 64).cast("bigint").alias("bucket"))
 
 
-_HITS = """
-SELECT {id}, {fnv} % {d} AS b, 1.0 AS w FROM (SELECT {id}, unnest(t) AS x FROM t)
-UNION ALL SELECT {id}, {fnv} % {d}, 1.5 FROM (SELECT {id}, unnest([t[i] || '_' || t[i + 1] FOR i IN range(1, len(t))]) AS x FROM t)
-"""
-
-
 def _fixture_sql(source: str, key: str, text: str, d: int) -> str:
+    """{key}, place, value of the hashed words and pairs of words of each text; each distinct word is hashed once."""
     return f"""
-WITH t AS (SELECT {key}, {_tokens(text)} AS t FROM {source}), h AS MATERIALIZED ({_HITS.format(id=key, fnv=_fnv('x'), d=d)}),
-s AS (SELECT {key}, b, sum(w)::DOUBLE AS w FROM h GROUP BY ALL), n AS (SELECT {key}, sqrt(sum(w * w)) AS n FROM s GROUP BY ALL)
-SELECT t.{key}, [coalesce(m[i][1], 0) / n FOR i IN range(0, {d})] AS embedding FROM t JOIN n USING ({key}) JOIN (SELECT {key}, map_from_entries(list((b, w))) AS m FROM s GROUP BY ALL) USING ({key})
+t AS (SELECT {key}, {_tokens(text)} AS t FROM {source}),
+h AS (SELECT {key}, unnest(t) AS x, 1.0 AS w FROM t UNION ALL SELECT {key}, unnest([t[i] || '_' || t[i + 1] FOR i IN range(1, len(t))]), 1.5 FROM t),
+u AS MATERIALIZED (SELECT x, {_fnv('x')} % {d} AS place FROM (SELECT DISTINCT x FROM h)),
+s AS (SELECT {key}, place, sum(w)::DOUBLE AS w FROM h JOIN u USING (x) GROUP BY ALL), n AS (SELECT {key}, sqrt(sum(w * w)) AS n FROM s GROUP BY ALL),
+fixture AS (SELECT {key}, place, w / n AS value FROM s JOIN n USING ({key}))
 """
 
 
-@query(f"SELECT item_id, i - 1 AS place, round(embedding[i], 6) AS value FROM (SELECT item_id, embedding, unnest(range(1, 33)) AS i FROM ({_fixture_sql('benchmark', 'item_id', 'text', 32).replace('m[i][1]', 'm[i]')}))")
+@query(f"WITH {_fixture_sql('documents', 'doc_id', 'text', DIMENSION)} SELECT doc_id, place, round(value, 6) AS value FROM fixture")
 def fixture_embed(spark, sf_dir):
-    """Hashed words and pairs of words, unit length."""
-    v = embedding.Fixture(dimension=32).column(F.col("text"))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(v).alias("place", "value")).select("item_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
+    """Hashed words and pairs of words, unit length; places without a word are left out."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("ref"), F.lit(0).alias("chunk_index"), "text")
+    v = embedding.embed(rows, embedding.Fixture(dimension=DIMENSION)).select(F.col("ref").cast("bigint").alias("doc_id"), F.posexplode("embedding").alias("place", "value")).filter("value <> 0")
+    return v.select("doc_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
+
+
+_CHUNKS = f"""c AS (
+  SELECT ref, kind, title, source_ref, i AS chunk_index, array_to_string(w[i * {WINDOW - OVERLAP} + 1 : i * {WINDOW - OVERLAP} + {WINDOW}], ' ') AS words
+  FROM (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(w) - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT)) AS i FROM (SELECT *, {_words('body_text')} AS w FROM ({_RECORDS}) WHERE kind = 'fr') WHERE len(w) > 0)
+)"""
+
+
+@query(f"""
+WITH {_CHUNKS}, k AS (SELECT ref || ':' || chunk_index AS id, title || ' ' || words AS body FROM c),
+{_fixture_sql('k', 'id', 'body', DIMENSION)},
+e AS (SELECT id, array_to_string(list(place || '=' || round(value, 4)::DECIMAL(9, 4)::VARCHAR ORDER BY place), ',') AS embedding FROM fixture GROUP BY id)
+SELECT ref, kind, title, source_ref, title AS heading, chunk_index, words, embedding FROM c JOIN e ON e.id = ref || ':' || chunk_index
+""")
+def sections_scan(spark, sf_dir):
+    """An index's chunks of the listed kinds with their record's fields, texts and vectors."""
+    rows = _index(spark, sf_dir).sections(kinds=["fr"], embeddings=True)
+    value = F.transform(F.col("embedding"), lambda x, i: F.when(F.abs(x) > 1e-9, F.concat(i.cast("string"), F.lit("="), F.round(x, 4).cast("decimal(9,4)").cast("string"))))
+    words = F.array_join(T.words(F.col("content")), " ")
+    return rows.select("ref", "kind", "title", "source_ref", "heading", F.col("chunk_index").cast("bigint").alias("chunk_index"), words.alias("words"), F.array_join(F.array_compact(value), ",").alias("embedding"))
 
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_trim('source')}, {_trim('lang')}, {_trim('text')}], lambda x: x <> ''), chr(10) || chr(10)) AS text FROM documents")
@@ -275,7 +321,7 @@ def embedding_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", embedding.embedding_text(F.col("source"), F.col("lang"), F.col("text"), F.lit("")).alias("text"))
 
 
-# reuse, updates, integrity -------------------------------------------------------------------------------------------
+# reuse, updates, integrity
 
 
 @query("SELECT doc_id, sha256(source || chr(0) || lang || chr(0) || text || chr(0)) AS reuse_key FROM documents")
@@ -295,13 +341,53 @@ def reuse_join(spark, sf_dir):
     return reuse.split(new, old).select("ref", F.col("old_embedding").isNotNull().alias("reused"))
 
 
-@query(f"SELECT ref, source_ref, content_hash FROM ({_HASHED}) WHERE quality IS NOT NULL UNION ALL SELECT ref, source_ref, content_hash FROM ({_HASHED}) WHERE quality IS NULL AND kind <> 'de'")
+def _updated(spark, sf_dir) -> Snapshot:
+    """An index of the documents, to which labelled documents are added over their unlabelled versions, and of which German
+    ones without labels are removed."""
+    options = build.BuildOptions(embedding.Fixture(dimension=DIMENSION), policy=chunking.Flat(WINDOW, OVERLAP))
+
+    def make(path: str) -> None:
+        build.rebuild(spark, path, documents(spark, sf_dir, False), options)
+        rows = documents(spark, sf_dir)
+        build.update(spark, path, rows.filter("metadata is not null"), rows.filter("kind = 'de' and metadata is null").select("ref"), options)
+
+    return _built(spark, sf_dir, "updated", make)
+
+
+_UPDATED = f"(SELECT * FROM ({_HASHED}) WHERE quality IS NOT NULL OR kind <> 'de')"
+
+
+@query(f"SELECT ref, source_ref, content_hash, CASE WHEN quality IS NULL THEN '' ELSE 'quality=' || quality || ',toxic=' || toxic END AS metadata FROM {_UPDATED}")
 def update_apply(spark, sf_dir):
-    """Labelled documents replace their unlabelled versions, German ones without labels are removed."""
-    old, new = normal(spark, sf_dir, False), normal(spark, sf_dir).filter("metadata is not null")
-    gone = old.filter("kind = 'de'").join(new, "ref", "left_anti").select("ref")
-    changed = gone.union(new.select("ref"))
-    return old.join(changed, "ref", "left_anti").unionByName(new).select("ref", "source_ref", "content_hash")
+    """The records of an index after an update."""
+    meta = F.array_join(F.transform(F.array_sort(F.map_entries(F.coalesce("metadata", F.create_map()))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return _updated(spark, sf_dir).records().select("ref", "source_ref", "content_hash", meta.alias("metadata"))
+
+
+@query(f"""
+WITH u AS (SELECT *, len({_words('body_text')}) AS n FROM {_UPDATED})
+SELECT kind, count(*) AS records, sum(CASE WHEN n > 0 THEN 1 + greatest(0, ceil((n - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT ELSE 0 END)::BIGINT AS chunks,
+  (SELECT sha256(string_agg(ref || ':' || content_hash, chr(10) ORDER BY ref || ':' || content_hash)) FROM u) AS fingerprint
+FROM u GROUP BY kind
+""")
+def update_counts(spark, sf_dir):
+    """Chunks, vectors and fingerprint of an index after an update."""
+    s = _updated(spark, sf_dir)
+    by = s.chunks().join(s.table("vectors").select("chunk_id"), "chunk_id").select("ref", "chunk_id").join(s.table("records").select("ref", "kind"), "ref", "right")
+    return by.groupBy("kind").agg(F.countDistinct("ref").alias("records"), F.count("chunk_id").alias("chunks"), F.lit(s.manifest["content_fingerprint"]).alias("fingerprint"))
+
+
+@query(f"""
+WITH u AS (SELECT quality, toxic, len(w) AS n, CASE WHEN len(w) > 0 THEN 1 + greatest(0, ceil((len(w) - {WINDOW}) / {WINDOW - OVERLAP}.0))::BIGINT ELSE 0 END AS chunks FROM (SELECT quality, toxic, {_words('body_text')} AS w FROM ({_RECORDS})))
+SELECT sum(chunks - CASE WHEN quality = 1 AND n > 0 THEN 1 ELSE 0 END)::BIGINT AS reused, sum(CASE WHEN quality = 1 AND n > 0 THEN 1 ELSE 0 END)::BIGINT AS embedded, sum(CASE WHEN quality = 1 AND n > 0 THEN 0 ELSE 1 END)::BIGINT AS unchanged_records, 'active' AS status FROM u
+""")
+def reuse_plan(spark, sf_dir):
+    """A rebuild that reuses the vectors of an index whose documents of good quality ended otherwise."""
+    rows = documents(spark, sf_dir)
+    body = F.when((F.col("metadata")["quality"] == "1") & (F.size(T.words(F.col("body_text"))) > 0), F.concat(T.trim_white(F.col("body_text")), F.lit("X"))).otherwise(F.col("body_text"))
+    options = build.BuildOptions(embedding.Fixture(dimension=DIMENSION), policy=chunking.Flat(WINDOW, OVERLAP), reuse_from=_index(spark, sf_dir).path)
+    done = build.rebuild(spark, f"{scratch.folder(spark)}/reuse-{uuid.uuid4().hex[:12]}", rows.withColumn("body_text", body).drop("metadata"), options)
+    return spark.createDataFrame([(done.reused, done.embedded, done.unchanged_records, str(done.reuse_status.value))], "reused bigint, embedded bigint, unchanged_records bigint, status string")
 
 
 @query("""
@@ -315,7 +401,7 @@ def integrity_orphans(spark, sf_dir):
     return build.integrity_problems(have, docs, docs.filter("lang = 'en'")).groupBy("problem").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-# vectors -------------------------------------------------------------------------------------------------------------
+# vectors
 
 
 def _vectors(spark, sf_dir) -> DataFrame:
@@ -371,6 +457,62 @@ def vec_binary_topk(spark, sf_dir):
     return _found(search.nearest(rows, _first_vector(spark, sf_dir), K, mode=C.BINARY))
 
 
+class Numbers:
+    """An embedder of texts that are vectors, written out."""
+
+    fingerprint = "numbers"
+
+    def __init__(self, dimension: int):
+        self._dimension = dimension
+
+    def dimension(self) -> int:
+        return self._dimension
+
+    def documents(self, texts: list[str]) -> list[list[float]]:
+        return [[float(x) for x in t.rpartition("\n\n")[2].split(",")] for t in texts]
+
+    queries = documents
+
+
+def _stored(spark, sf_dir, mode: str) -> Snapshot:
+    """An index of the embeddings, kept in a mode."""
+
+    def make(path: str) -> None:
+        rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("ref"), F.col("label").cast("string").alias("kind"), F.lit(C.PLAINTEXT).alias("body_format"), F.array_join(F.col("embedding").cast("array<string>"), ",").alias("body_text"))
+        build.rebuild(spark, path, rows, build.BuildOptions(Numbers(len(_first_vector(spark, sf_dir))), quantization=mode))
+
+    return _built(spark, sf_dir, f"vectors-{mode}", make)
+
+
+def _hits(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("ref").cast("bigint").alias("vec_id"), "kind", F.round("score", 6).alias("score"))
+
+
+@query(f"SELECT ref::BIGINT AS vec_id, kind, {_SCORE} AS score FROM (SELECT ref, kind, {_COSINE} AS distance FROM {_E} WHERE kind IN ('3', '7') ORDER BY distance, ref LIMIT {K})")
+def search_vector(spark, sf_dir):
+    """V6, Q1, Q2: an index searched by vector, kinds before the limit."""
+    return _hits(_stored(spark, sf_dir, C.FLOAT32).search_vector(_first_vector(spark, sf_dir), K, kinds=["3", "7"]))
+
+
+@query(f"SELECT ref::BIGINT AS vec_id, kind, {_SCORE} AS score FROM (SELECT ref, kind, {_COSINE} AS distance FROM (SELECT ref, kind, a, b, {_cosine('a[1:16]', 'b[1:16]')} AS rough FROM {_E} ORDER BY rough, ref LIMIT {3 * 5 * K}) ORDER BY distance, ref LIMIT {K})")
+def search_vector_prefix(spark, sf_dir):
+    """V3, V5, V6: of an index a prefix picks three times the pool."""
+    return _hits(_stored(spark, sf_dir, C.FLOAT32).search_vector(_first_vector(spark, sf_dir), K, dimension=16))
+
+
+@query(f"SELECT ref::BIGINT AS vec_id, kind, {_SCORE} AS score FROM (SELECT ref, kind, {_COSINE} AS distance FROM (SELECT ref, kind, {_int8('a')} AS a, {_int8('b')} AS b FROM {_E}) ORDER BY distance, ref LIMIT {K})")
+def search_vector_int8(spark, sf_dir):
+    """V6, Q3: the same of int8 vectors."""
+    return _hits(_stored(spark, sf_dir, C.INT8).search_vector(_first_vector(spark, sf_dir), K))
+
+
+@query("SELECT vec_id, i - 1 AS place, round(round(v / n * 127)::BIGINT / 127, 6) AS value FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n, unnest(embedding::DOUBLE[]) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)")
+def stored_int8(spark, sf_dir):
+    """Q4, Q8, F16: int8 vectors of an index, read back as numbers."""
+    rows = _stored(spark, sf_dir, C.INT8).sections(embeddings=True)
+    return rows.select(F.col("ref").cast("bigint").alias("vec_id"), F.posexplode("embedding").alias("place", "value")).select("vec_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
+
+
 @query(f"""
 WITH d AS (SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, v.vec_id::VARCHAR AS ref, {_cosine('q.embedding::DOUBLE[]', 'v.embedding::DOUBLE[]')} AS distance FROM embeddings q, embeddings v)
 SELECT query_id, rank - 1 AS rank, abs(round(distance, 6)) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref) AS rank FROM d) WHERE rank <= 5
@@ -393,7 +535,7 @@ def quantize_binary(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.from_bits(V.to_bits(F.col("embedding")), 64)).alias("place", "value")).select("vec_id", F.col("place").cast("bigint").alias("place"), "value")
 
 
-# full text and fusion ------------------------------------------------------------------------------------------------
+# full text and fusion
 
 _FTS = """
 WITH t AS (SELECT doc_id AS chunk_id, list_filter(regexp_split_to_array(strip_accents(lower(source || ' ' || lang || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents),
@@ -404,37 +546,34 @@ s AS (SELECT chunk_id, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SE
 """
 
 
-def _fts_index(spark, sf_dir) -> tuple[DataFrame, tuple[int, int]]:
-    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("kind"), F.col("source").alias("title"), F.col("lang").alias("heading"), "text")
-    return fulltext.postings(rows), fulltext.index_size(rows)
+def _fts_rows(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("lang").alias("kind"), F.col("source").alias("title"), F.col("lang").alias("heading"), "text")
 
 
-@query("SELECT doc_id, len(t) AS len, unnest(list_distinct(t)) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM benchmark JOIN (SELECT item_id, item_id AS doc_id FROM benchmark) USING (item_id))")
+@query("SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(source || ' ' || lang || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)) GROUP BY ALL")
 def fts_postings(spark, sf_dir):
-    """The terms of each text, accents folded."""
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_id"), F.lit("").alias("kind"), F.lit("").alias("title"), F.lit("").alias("heading"), "text")
-    return fulltext.postings(rows).select(F.col("chunk_id").alias("doc_id"), F.col("len").cast("bigint").alias("len"), "term")
+    """The terms of each text with their counts, accents folded."""
+    return fulltext.postings(_fts_rows(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"), F.col("len").cast("bigint").alias("len"), "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query(_FTS + f"SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, chunk_id LIMIT {K}")
 def fts_bm25(spark, sf_dir):
     """All terms, best first."""
-    index, size = _fts_index(spark, sf_dir)
-    return _found(fulltext.search(index, TEXT, size, K))
+    return _found(fulltext.scan(_fts_rows(spark, sf_dir), TEXT, K))
 
 
 @query(_FTS + "SELECT chunk_id FROM s")
 def fts_and_match(spark, sf_dir):
-    """Every chunk that has all terms."""
-    index, size = _fts_index(spark, sf_dir)
-    return fulltext.search(index, TEXT, size, size[0]).select("chunk_id")
+    """Every chunk that has all terms, by postings."""
+    rows = _fts_rows(spark, sf_dir)
+    size = fulltext.index_size(rows)
+    return fulltext.search(scratch.written(fulltext.postings(rows), "postings"), TEXT, size, size[0]).select("chunk_id")
 
 
 @query(_FTS + f"SELECT chunk_id, round(s.score, 6) AS score FROM s JOIN documents ON doc_id = chunk_id WHERE lang = 'en' ORDER BY s.score DESC, chunk_id LIMIT {K}")
 def fts_kind_match(spark, sf_dir):
     """T4: kinds filter the hits, not the statistics."""
-    index, size = _fts_index(spark, sf_dir)
-    return _found(fulltext.search(index, TEXT, size, K, ["en"]))
+    return _found(fulltext.scan(_fts_rows(spark, sf_dir), TEXT, K, ["en"]))
 
 
 POOL = 50
@@ -478,7 +617,7 @@ def hit_provenance(spark, sf_dir):
     return hits.select("chunk_id", "arm", F.col("e.rank").cast("bigint").alias("rank"), F.round("e.score", 6).alias("score"))
 
 
-# context -------------------------------------------------------------------------------------------------------------
+# context
 
 
 def _turns(spark, sf_dir) -> DataFrame:
@@ -504,7 +643,7 @@ def expand_parent(spark, sf_dir):
     return context.expand(turns, turns.select("chunk_id"), include_parent=True).filter("chunk_id = hit_id or position = 0").select("hit_id", "chunk_id").distinct()
 
 
-# services ------------------------------------------------------------------------------------------------------------
+# services
 
 
 @query("""
@@ -541,14 +680,12 @@ def extract_error_message(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", failures.logged_message(body).alias("message"))
 
 
-# end to end ----------------------------------------------------------------------------------------------------------
+# end to end
 
 
 @query()
 def snapshot_search(spark, sf_dir):
     """An index of all conversations and documents is built, opened and searched."""
-    from ..sources.snapshot import Snapshot
-
     rows = documents(spark, sf_dir).unionByName(adapters.from_conversations(table(spark, sf_dir, "conversations")), allowMissingColumns=True)
     path = f"{scratch.folder(spark)}/index-{uuid.uuid4().hex[:12]}"
     build.rebuild(spark, path, rows, build.BuildOptions(embedding.Fixture(dimension=32), policy=chunking.Late(4 * WINDOW, 0, OVERLAP)))
@@ -558,7 +695,6 @@ def snapshot_search(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Full-text search over all documents."""
-    index, size = _fts_index(spark, sf_dir)
-    hits = fulltext.search(index, TEXT, size, K)
+    hits = fulltext.scan(_fts_rows(spark, sf_dir), TEXT, K)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), "lang", "source", "text")
     return docs.join(F.broadcast(hits), "chunk_id").orderBy(F.desc("score"), "chunk_id")  # K hits at most

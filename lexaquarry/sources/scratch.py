@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """Under ``spark.checkpoint.dir``; a local folder only where that isn't set, as in tests."""
+    """Under ``spark.checkpoint.dir``; a local folder only where that isn't set and the master is local, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lexaquarry-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/scratch-{spark.sparkContext.applicationId}"

@@ -1,15 +1,19 @@
-"""Immutable indexes in a folder: tables of a generation, a manifest, and a file that names the current generation.
+"""Immutable indexes in a folder: generations, each with a manifest, and a file that names the current one.
 
     CURRENT                       name of the generation that readers open
-    gen-.../manifest.json         versions, embedder, counts, fingerprint, times
-    gen-.../records chunks vectors postings     Parquet
+    gen-.../manifest.json         versions, embedder, counts, fingerprint, times, segments
+    gen-.../records chunks vectors postings     Parquet: a segment
+    gen-.../dead_refs dead_chunks               what the generation took out of the segments before it
 
-A reader opens one generation and keeps reading it while later ones are published.
+A rebuild makes a generation of one segment. An update adds a segment of the new records alone, and names what it takes out
+of older ones, so what it writes depends on the change and not on the index. The manifest lists the generations whose
+segments make up the index. A reader opens one generation and keeps reading it while later ones are published.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +50,15 @@ class Snapshot:
     """One generation of an index. What is wrong with the vectors' description is told by searches, not by opening: records
     and sections of such an index can still be read."""
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, generation: str | None = None):
         self.spark, self.path = spark, path.rstrip("/")
-        self.generation = current(spark, self.path)
+        self.generation = generation or current(spark, self.path)
         self.base = f"{self.path}/{self.generation}"
         self.manifest = files.read_json(spark, f"{self.base}/manifest.json")
         if self.manifest.get("schema_version") not in C.SCHEMA_VERSIONS:
             raise C.UnsupportedSchemaVersion(f"schema version {self.manifest.get('schema_version')!r} of {path}")
+        self.segments: list[dict] = self.manifest.get("segments") or [{"name": self.generation, "seq": 0, "chunks": self.manifest.get("chunks", 0)}]
+        self.dead: list[str] = self.manifest.get("dead", [])
         self._tables: dict[str, DataFrame] = {}
         have = set(self.table("chunks").columns)
         for column, since in (("context_prefix", 3), ("parent_chunk_id", 5)):
@@ -69,13 +75,29 @@ class Snapshot:
         self._tables.clear()
 
     def has(self, name: str) -> bool:
-        return files.exists(self.spark, f"{self.base}/{name}")
+        return all(files.exists(self.spark, f"{self.path}/{x['name']}/{name}") for x in self.segments)
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            self._tables[name] = self.spark.read.parquet(f"{self.base}/{name}")
+            self._tables[name] = self.live(name, self.segments)
         return self._tables[name]
 
+    def dead_table(self, name: str) -> DataFrame:
+        """``dead_refs`` (ref, seq: older segments' records of this ref are dead) or ``dead_chunks`` (chunk_id; ids are never
+        given again)."""
+        return reduce(DataFrame.unionByName, [self.spark.read.parquet(f"{self.path}/{x}/{name}") for x in self.dead])
+
+    def live(self, name: str, segments: list[dict]) -> DataFrame:
+        """The rows of some segments that no later generation took out."""
+        one = lambda x: self.spark.read.parquet(f"{self.path}/{x['name']}/{name}")
+        if not self.dead:
+            return reduce(DataFrame.unionByName, map(one, segments))
+        if name != "records":
+            return reduce(DataFrame.unionByName, map(one, segments)).join(self.dead_table("dead_chunks"), "chunk_id", "left_anti")
+        rows = reduce(DataFrame.unionByName, [one(x).withColumn("__seq", F.lit(x["seq"]).cast("bigint")) for x in segments])
+        dead = self.dead_table("dead_refs").groupBy(F.col("ref").alias("__ref")).agg(F.max("seq").alias("__dead"))
+        return rows.join(dead, (F.col("ref") == F.col("__ref")) & (F.col("__seq") < F.col("__dead")), "left_anti").drop("__seq")
+
     def chunks(self) -> DataFrame:
         """With the columns of the newest version, whatever the index has."""
         t = self.table("chunks")
@@ -132,6 +154,14 @@ class Snapshot:
             raise ValueError(f"the query has dimension {len(vector)}, the index {stored}")
         return search.nearest(self.table("vectors"), vector, k, kinds, mode, dimension)
 
+    def _text_hits(self, text: str, k: int, kinds) -> DataFrame:
+        size = (self.manifest["indexed_chunks"], self.manifest["indexed_tokens"])
+        return fusion.ranked(fulltext.search(self.table("postings"), text, size, k, kinds), F.desc("score"), "chunk_id")
+
+    def _arm(self, name: str, hits: DataFrame) -> fusion.Arm:
+        """An arm whose search has run: its errors show here, and later steps don't repeat it. Hits are a pool's, 250 at most."""
+        return fusion.Arm(name, self.spark.createDataFrame(hits.collect(), hits.schema))
+
     def search_vector(self, vector: list[float], limit: int = 0, kinds=None, dimension: int = 0) -> DataFrame:
         """Hits by vector alone, best first, without provenance."""
         limit = C.search_limit(limit)
@@ -154,12 +184,12 @@ class Snapshot:
         if len(vectors) != 1:
             raise ValueError(f"the embedder gave {len(vectors)} vectors for one query")
         pool = C.pool_size(limit)
-        arms = [fusion.Arm(C.VECTOR_ARM, fusion.ranked(self._vector_hits(vectors[0], pool, kinds, dimension), "distance", "ref", "chunk_index", "chunk_id"))]
-        if self.has("postings"):
-            size = (self.manifest["indexed_chunks"], self.manifest["indexed_tokens"])
-            arms.append(fusion.Arm(C.TEXT_ARM, fusion.ranked(fulltext.search(self.table("postings"), text, size, pool, kinds), F.desc("score"), "chunk_id")))
-        else:
-            arms.append(fusion.Arm(C.TEXT_ARM, available=False))
+        # a vector arm that fails ends the search; a text arm that fails is for the strategy to judge
+        arms = [self._arm(C.VECTOR_ARM, fusion.ranked(self._vector_hits(vectors[0], pool, kinds, dimension), "distance", "ref", "chunk_index", "chunk_id"))]
+        try:
+            arms.append(self._arm(C.TEXT_ARM, self._text_hits(text, pool, kinds)) if self.has("postings") else fusion.Arm(C.TEXT_ARM, available=False))
+        except Exception as e:  # noqa: BLE001
+            arms.append(fusion.Arm(C.TEXT_ARM, available=False, error=e))
         fused = (fusion_strategy or fusion.default_fusion()).fuse(arms, pool)
         placed = fused.coalesce(1).withColumn("position", F.monotonically_increasing_id())
         hits = self._payload(placed, ["score", "provenance", "position"])

@@ -1,11 +1,12 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lexaquarry import constants as C
 from lexaquarry.functions.text import query_tokens
-from lexaquarry.operators import chunking, embedding
+from lexaquarry.operators import chunking, embedding, fusion
 from lexaquarry.plans import build
 from lexaquarry.sources import files
 from lexaquarry.sources.snapshot import Snapshot, open_snapshot, read_stats, search_index
@@ -104,7 +105,81 @@ def test_update_is_a_rebuild(spark, tmp_path):
     assert now.manifest["created_at"] == old.manifest["created_at"] and "updated_at" in now.manifest
     build.update(spark, a, None, ["fresh"], build.BuildOptions())
     assert Snapshot(spark, a).records(refs=["fresh"]).count() == 0
-    assert len(build.vacuum(spark, a)) == 2 and read_stats(spark, a).records == 3
+    # the segments of older generations are still part of the index, until they are merged
+    final = content(spark, a)
+    assert build.vacuum(spark, a) == [] and len(Snapshot(spark, a).segments) == 2 and read_stats(spark, a).records == 3
+    assert build.compact(spark, a) and len(build.vacuum(spark, a)) == 3 and not build.compact(spark, a)
+    assert content(spark, a) == final and len(Snapshot(spark, a).segments) == 1 and Snapshot(spark, a).dead == []
+
+
+def test_many_updates_are_merged(spark, tmp_path, monkeypatch):
+    """Removed and given again, replaced, merged on the way: always a rebuild of what is there."""
+    monkeypatch.setattr(build, "FAN_IN", 2)
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    build.rebuild(spark, a, records(spark), options())
+    rows = {r[0]: r for r in DOCS}
+    steps = [([("one", "note", "One", "first words")], []), ([], ["one", "guide"]), ([("one", "note", "One", "other words"), ("guide", "note", "G", "back again")], ["codes"]), ([("one", "note", "One", "third words")], ["plan"]), ([("two", "note", "Two", "the last")], [])]
+    for new, gone in steps:
+        done = build.update(spark, a, records(spark, new) if new else None, gone, options())
+        for ref in gone:
+            rows.pop(ref, None)
+        rows |= {r[0]: r for r in new}
+        assert done.records == len(rows)
+    s = Snapshot(spark, a)
+    build.rebuild(spark, b, records(spark, list(rows.values())), options())
+    new = Snapshot(spark, b)
+    assert content(spark, a) == content(spark, b) and len(s.segments) < 5  # of six
+    assert [s.manifest[c] for c in ("records", "chunks", "indexed_chunks", "indexed_tokens")] == [new.manifest[c] for c in ("records", "chunks", "indexed_chunks", "indexed_tokens")]
+    hits = lambda x: [(r.ref, round(r.score, 9)) for r in x.search("third words", EMB).collect()]
+    assert hits(s) == hits(new) and hits(s)[0][0] == "one"
+
+
+def test_an_update_writes_what_changed(spark, tmp_path):
+    """The bytes that one changed record costs don't depend on the index."""
+    from pathlib import Path
+
+    sizes = []
+    for n in (20, 2000):
+        p = tmp_path / str(n)
+        many = [(f"r{i:05d}", "note", f"Title {i}", f"# Head\nwords of record {i} and of others") for i in range(n)]
+        build.rebuild(spark, f"file://{p}", records(spark, many), options())
+        before = {f for f in p.rglob("*") if f.is_file()}
+        build.update(spark, f"file://{p}", records(spark, [("r00007", "note", "Title 7", "# Head\nother words")]), ["r00003"], options())
+        sizes.append(sum(f.stat().st_size for f in p.rglob("*") if f.is_file() and f not in before))
+        s = Snapshot(spark, f"file://{p}")
+        assert s.table("records").count() == n - 1 and s.manifest["chunks"] == n - 1
+    assert sizes[1] < 1.3 * sizes[0]
+
+
+def test_a_text_arm_that_fails(spark, tmp_path):
+    """It reaches a strategy of one's own as an arm with its error; the default gives none of the others' hits."""
+    from pathlib import Path
+
+    p = f"file://{tmp_path}/t"
+    build.rebuild(spark, p, records(spark), options())
+    s = Snapshot(spark, p)
+    for f in Path(s.base.removeprefix("file://"), "postings").iterdir():
+        f.write_bytes(b"no parquet")
+    seen = {}
+
+    class Vectors:
+        def fuse(self, arms, limit):
+            seen.update({a.name: a for a in arms})
+            return fusion.ReciprocalRank().fuse([a for a in arms if a.available], limit)
+
+    broken = Snapshot(spark, p)
+    assert broken.search("background workers batches", EMB, fusion_strategy=Vectors()).first().ref == "guide"
+    arm = seen[C.TEXT_ARM]
+    assert not arm.available and arm.hits is None and isinstance(arm.error, Exception) and seen[C.VECTOR_ARM].available
+    with pytest.raises(RuntimeError, match="fts"):
+        broken.search("workers", EMB)
+    files.remove(spark, f"{s.base}/postings")
+    without = Snapshot(spark, p)
+    assert without.search("workers", EMB, fusion_strategy=Vectors()).count() > 0 and seen[C.TEXT_ARM].error is None and not seen[C.TEXT_ARM].available
+    files.remove(spark, f"{s.base}/vectors")
+    with pytest.raises(Exception) as e:
+        Snapshot(spark, p).search("workers", EMB, fusion_strategy=Vectors())
+    assert not isinstance(e.value, RuntimeError)
 
 
 def test_update_guards(spark, path, monkeypatch):
@@ -209,8 +284,9 @@ def test_fixture_embedder_in_catalyst_and_python(spark):
     texts = ["", "one", "Naïve naïve ÜBER 42", "a_b c-d a_b", "İ Σ", "word " * 50]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[1] for r in sorted(df.select("i", EMB.column(F.col("t"))).collect())]
-    for a, b in zip(got, EMB.documents(texts)):
-        assert a == pytest.approx(b, abs=1e-12)
+    for a, b, c in zip(got, EMB.documents(texts), EMB.matrix(pa.array(texts)).tolist()):
+        assert a == pytest.approx(b, abs=1e-12) and c == pytest.approx(b, abs=1e-12)
+    assert EMB.matrix(pa.array([], pa.string())).shape == (0, 16) and EMB.matrix(pa.array([None, ""])).sum() == 0
     assert query_tokens("Naïve İx ½ a-b", spark) == ["naive", "ix", "a", "b"]
 
 
