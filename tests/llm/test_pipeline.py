@@ -1,8 +1,11 @@
+import re
+
 import pyarrow as pa
 import sentencepiece
 
 import corpus_pipeline
 from lexaquarry.llm import decontamination, ngram_jaccard, sentencepiece_codec, substring_dedup, toxicity
+from lexaquarry.llm._shared import materialize, release
 
 from . import cases
 from .test_decontamination import ITEMS
@@ -98,3 +101,13 @@ def test_decontamination_catches_what_the_stage_keeps(spark, data):
     clean = corpus_pipeline.drop_benchmark(spark, docs, data)
     assert clean.count() < docs.count()
     assert decontamination.benchmark_leaks(clean, spark.read.parquet(f"{data}/benchmark.parquet")).count() == 0
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: set(re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString(" ")))
+    before = files()
+    written = materialize(spark.range(1000).selectExpr("id % 7 AS x").groupBy("x").count(), "counts")
+    assert written.count() == 7 and sum(r["count"] for r in written.collect()) == 1000
+    assert len(files() - before) <= 1  # of counting the rows of the written table
+    release(written)
