@@ -7,10 +7,11 @@ every limit, ties go by chunk_id, and payload is joined behind the limit.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,7 +19,9 @@ from pyspark.sql.window import Window
 from ..constants import BINARY, FLOAT32, INT8, RESCORE_FACTOR, listed_kinds, search_dimension
 from ..functions import vectors as V
 
-QUERY_BYTES = 64 << 20  #: queries held by a task at once; more are answered in blocks, each by a scan of its own
+QUERY_BYTES = 16 << 20  #: of queries, and as much of vectors, that a task holds
+QUERY_BLOCK, VECTOR_BLOCK, PAIRS = 512, 4096, 1 << 14  #: rows of a matrix product, and pairs scored at once
+LEAST_GROUP = 2048  #: queries or vectors below which groups aren't divided for the sake of more tasks
 
 
 def of_kinds(rows: DataFrame, kinds) -> DataFrame:
@@ -63,57 +66,92 @@ def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], queries, k: int) -> Iterator[pa.RecordBatch]:
-    """The k best of each query in this partition. A matrix product finds them up to rounding; those near the cut are
-    scored again in order of components, so equal vectors tie exactly."""
-    ids, q = queries.value
-    length = np.sqrt(_in_order(q, q))
-    best: list[list[tuple]] = [[] for _ in ids]
-    cut = np.full(len(ids), np.inf)
+def _exact(q: np.ndarray, v: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, with the products n of their lengths, as the single-query form gives them."""
+    dots = np.concatenate([np.empty(0), *(_in_order(q[i[x : x + PAIRS]].astype(np.float64), v[j[x : x + PAIRS]].astype(np.float64)) for x in range(0, len(i), PAIRS))])
+    return np.where(n > 0, 1 - dots / np.where(n > 0, n, 1), 1.0)
+
+
+def _matrix(batches: list[pa.RecordBatch]) -> np.ndarray:
+    lists = [x.column("embedding") for x in batches]
+    sizes = np.unique(np.concatenate([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]))
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different dimensions: {sizes[0]}, {sizes[-1]}")
+    return np.concatenate([x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1) for x in lists])
+
+
+def _cell(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The k best of each query among the vectors of a cell. A matrix product in single precision finds them up to its greatest
+    error; those near the cut are scored again in order of components, so equal vectors tie exactly. Both sides are taken in
+    blocks, so what is held besides them doesn't depend on their number."""
+    asked, stored = [], []
     for batch in batches:
-        lists = batch.column("embedding")
-        v = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
-        if v.shape[1] != q.shape[1]:
-            raise ValueError(f"queries have dimension {q.shape[1]}, vectors {v.shape[1]}")
-        n = np.sqrt(_in_order(v, v))
-        scale = length[:, None] * n[None, :]
-        rough = np.where(scale > 0, 1 - (q @ v.T) / np.where(scale > 0, scale, 1), 1.0)
-        if rough.shape[1] > k:
-            cut = np.minimum(cut, np.partition(rough, k - 1, axis=1)[:, k - 1])
-        chunk, ref, place = (batch.column(c).to_pylist() for c in ("chunk_id", "ref", "chunk_index"))
-        for i, row in enumerate(rough):
-            near = np.flatnonzero(row <= cut[i] + 1e-9)
-            if not len(near):
+        asked.append(batch.filter(batch.column("asks")))
+        stored.append(batch.filter(pc.invert(batch.column("asks"))))
+    asked, stored = ([x for x in y if x.num_rows] for y in (asked, stored))
+    if not asked or not stored:
+        return
+    q, v = _matrix(asked), _matrix(stored)
+    if v.shape[1] != q.shape[1]:
+        raise ValueError(f"queries have dimension {q.shape[1]}, vectors {v.shape[1]}")
+    ids = pa.Table.from_batches([x.select(["id"]) for x in asked]).combine_chunks().column(0)
+    rows = pa.Table.from_batches([x.select(["ref", "chunk_index", "id"]) for x in stored])
+    order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names], null_placement="at_start")
+    rows, v = rows.take(order), v[order.to_numpy()]  # ties go by place from here on
+
+    def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = np.concatenate([np.sqrt(_in_order(y, y)) for y in (x[at : at + PAIRS].astype(np.float64) for at in range(0, len(x), PAIRS))])
+        return n, (x / np.where(n > 0, n, 1)[:, None]).astype(np.float32)
+
+    (q_length, q_unit), (v_length, v_unit) = unit(q), unit(v)
+    margin = (q.shape[1] + 8) * 2**-23 * 1.1  # twice the rounding of a product of unit vectors
+    for begin in range(0, len(q), QUERY_BLOCK):
+        block = q_unit[begin : begin + QUERY_BLOCK]
+        cut = np.full(len(block), -np.inf, np.float32)
+        best_i, best_j, best_d = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for at in range(0, len(v), VECTOR_BLOCK):
+            near = block @ v_unit[at : at + VECTOR_BLOCK].T
+            if not at and near.shape[1] > k:
+                cut = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            i, j = np.nonzero(near >= (cut - np.float32(margin))[:, None])
+            if not len(i):
                 continue
-            s = length[i] * n[near]
-            exact = np.where(s > 0, 1 - _in_order(np.broadcast_to(q[i], (len(near), q.shape[1])), v[near]) / np.where(s > 0, s, 1), 1.0)
-            best[i] = sorted(best[i] + [(float(d), ref[j], place[j], chunk[j]) for d, j in zip(exact, near)])[:k]
-            if len(best[i]) == k:
-                cut[i] = min(cut[i], best[i][-1][0])
-    rows = [(int(ids[i]), c, r, p, d) for i, found in enumerate(best) for d, r, p, c in found]
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64()))], names=[x.split()[0] for x in FOUND.split(", ")])
+            j += at
+            d = _exact(q, v, q_length[begin + i] * v_length[j], begin + i, j)
+            best_i, best_j, best_d = np.r_[best_i, i], np.r_[best_j, j], np.r_[best_d, d]
+            by = np.lexsort((best_j, best_d, best_i))
+            by = by[np.arange(len(by)) - np.searchsorted(best_i[by], best_i[by]) < k]
+            best_i, best_j, best_d = best_i[by], best_j[by], best_d[by]
+            last = np.flatnonzero(np.arange(len(by)) - np.searchsorted(best_i, best_i) == k - 1)
+            cut[best_i[last]] = np.maximum(cut[best_i[last]], (1 - best_d[last]).astype(np.float32))
+        found = rows.take(pa.array(best_j))
+        yield from pa.table([ids.take(pa.array(begin + best_i)), found["id"], found["ref"], found["chunk_index"], pa.array(best_d)], names=[x.split()[0] for x in FOUND.split(", ")]).combine_chunks().to_batches()
+
+
+def _grid(queries: int, vectors: int, row_bytes: int, most: int, tasks: int) -> tuple[int, int]:
+    """Numbers of groups of queries and of vectors: groups of so many bytes at most, and tasks enough unless they get small."""
+    r, c = (max(1, -(-n * row_bytes // most)) for n in (queries, vectors))
+    while r * c < tasks and max(queries / r, vectors / c) > LEAST_GROUP:
+        r, c = (2 * r, c) if queries / r > vectors / c else (r, 2 * c)
+    return r, c
 
 
 def nearest_of_many(vectors: DataFrame, queries: DataFrame, k: int, kinds=None, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """(query_id, rank, chunk_id, ref, chunk_index, distance, score), rank from 0: the k nearest of every query (query_id,
-    embedding), as ``nearest`` gives them. Vectors are read once a block of queries and only k rows a query and partition
-    are shuffled."""
-    spark, rows = vectors.sparkSession, of_kinds(vectors, kinds)
-    found, block, held = [], [], 0
-
-    def close() -> DataFrame:
-        q = (np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.float64))
-        return rows.select("chunk_id", "ref", "chunk_index", "embedding").mapInArrow(partial(_scan, queries=spark.sparkContext.broadcast(q), k=k), FOUND)
-
-    for row in queries.select("query_id", F.col("embedding").cast("array<double>")).toLocalIterator():
-        block.append(row)
-        held += 8 * len(row[1])
-        if held >= query_bytes:
-            found.append(close())
-            block, held = [], 0
-    if block or not found:
-        found.append(close() if block else spark.createDataFrame([], FOUND))
+    embedding), as ``nearest`` gives them. Queries and vectors are dealt into groups, every pair of groups is a task's, and
+    only k rows a query and group of vectors are shuffled; nothing of either passes through the driver."""
+    spark = vectors.sparkSession
+    v = of_kinds(vectors, kinds).select(F.lit(False).alias("asks"), F.col("chunk_id").cast("bigint").alias("id"), "ref", F.col("chunk_index").cast("int").alias("chunk_index"), "embedding")
+    q = queries.select(F.lit(True).alias("asks"), F.col("query_id").cast("bigint").alias("id"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("int").alias("chunk_index"), "embedding")
+    single = all(x.schema["embedding"].dataType.elementType.typeName() in ("float", "byte") for x in (q, v))
+    size = lambda x: x.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(0))).first()
+    (n_q, d_q), (n_v, d_v) = size(q), size(v)
+    r, c = _grid(n_q, n_v, (4 if single else 8) * max(1, d_q, d_v), query_bytes, 3 * spark.sparkContext.defaultParallelism)
+    own = lambda n: F.pmod(F.xxhash64("id", "embedding"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = q.withColumn("r", own(r)).withColumn("c", each(c)).unionByName(v.withColumn("c", own(c)).withColumn("r", each(r)))
+    dealt = dealt.select((F.col("r") * c + F.col("c")).alias("cell"), "asks", "id", "ref", "chunk_index", F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"))
+    found = dealt.repartitionById(r * c, "cell").drop("cell").mapInArrow(partial(_cell, k=k), FOUND)
     order = Window.partitionBy("query_id").orderBy("distance", "ref", "chunk_index", "chunk_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
+    ranked = found.withColumn("rank", F.row_number().over(order) - 1).filter(F.col("rank") < k)
     return ranked.select("query_id", "rank", "chunk_id", "ref", "chunk_index", "distance", V.score(F.col("distance")).alias("score"))
