@@ -553,7 +553,7 @@ def _fts_rows(spark, sf_dir) -> DataFrame:
 @query("SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(source || ' ' || lang || ' ' || text)), '[^\\p{L}\\p{N}]+'), lambda w: w <> '') AS t FROM documents)) GROUP BY ALL")
 def fts_postings(spark, sf_dir):
     """The terms of each text with their counts, accents folded."""
-    return fulltext.postings(_fts_rows(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"), F.col("len").cast("bigint").alias("len"), "term", F.col("tf").cast("bigint").alias("tf"))
+    return fulltext.merged_postings(_fts_rows(spark, sf_dir)).select(F.col("chunk_id").alias("doc_id"), F.col("len").cast("bigint").alias("len"), "term", F.col("tf").cast("bigint").alias("tf"))
 
 
 @query(_FTS + f"SELECT chunk_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, chunk_id LIMIT {K}")
@@ -566,8 +566,9 @@ def fts_bm25(spark, sf_dir):
 def fts_and_match(spark, sf_dir):
     """Every chunk that has all terms, by postings."""
     rows = _fts_rows(spark, sf_dir)
-    size = fulltext.index_size(rows)
-    return fulltext.search(scratch.written(fulltext.postings(rows), "postings"), TEXT, size, size[0]).select("chunk_id")
+    index = scratch.written(fulltext.merged_postings(rows), "postings")
+    size = rows.count(), int(index.agg(F.sum("tf")).first()[0] or 0)
+    return fulltext.search(index, TEXT, size, None).select("chunk_id")
 
 
 @query(_FTS + f"SELECT chunk_id, round(s.score, 6) AS score FROM s JOIN documents ON doc_id = chunk_id WHERE lang = 'en' ORDER BY s.score DESC, chunk_id LIMIT {K}")
