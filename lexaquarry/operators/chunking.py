@@ -13,14 +13,16 @@ from functools import partial
 from itertools import islice
 from typing import NamedTuple, Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import NO_PARENT, PLAINTEXT, TooManySections, section_cap
+from ..functions.batches import PIECE_BYTES, pieces
 from ..functions.text import WHITE, let, words
 
-_WORD = re.compile(f"[^{WHITE}]+")
+_IS_WHITE = np.isin(np.arange(max(map(ord, WHITE)) + 2), [ord(x) for x in WHITE])  #: its last stands for all letters beyond
 _HEADING = re.compile(f"(#{{1,6}}) [{WHITE}]*([^{WHITE}].*)", re.S)
 
 
@@ -74,17 +76,21 @@ def split_section(section: Section, most: int, overlap: int = 0) -> list[Section
     if most <= 0 or overlap >= most:
         return [section]
     text = section.body
-    spans = [m.span() for m in _WORD.finditer(text)]
-    if len(spans) <= most:
+    if len(text) < 2 * most:  # at least a letter and a blank a word
+        return [section]
+    white = _IS_WHITE[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), len(_IS_WHITE) - 1)]
+    edges = np.flatnonzero(np.diff(white, prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) <= most:
         return [section]
     out = []
-    for at in range(0, len(spans), most - overlap):
-        last = min(at + most, len(spans)) - 1
-        floor = spans[at - 1][1] if at else 0
-        begin = max(floor, text.rfind("\n", floor, spans[at][0]) + 1)
-        part = text[begin : spans[last][1]].rstrip(WHITE)
-        out.append(section._replace(body=part.lstrip(WHITE) if at and begin == floor else part))
-        if last == len(spans) - 1:
+    for at in range(0, len(starts), most - overlap):
+        last = min(at + most, len(starts)) - 1
+        floor = int(ends[at - 1]) if at else 0
+        begin = max(floor, text.rfind("\n", floor, int(starts[at])) + 1)
+        part = text[begin : int(ends[last])].rstrip(WHITE)
+        out.append(Section(section.heading, part.lstrip(WHITE) if at and begin == floor else part, section.parent))
+        if last == len(starts) - 1:
             break
     return out
 
@@ -191,7 +197,8 @@ def _chunk(batches: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.Rec
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     send = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
     rows: list[tuple] = []
-    for batch in batches:
+    held = 0
+    for batch in pieces(batches, "body_text"):
         for x in zip(*(batch.column(c).to_pylist() for c in Record._fields)):
             record = Record(*x)
             sections = policy.sections(record)
@@ -199,9 +206,10 @@ def _chunk(batches: Iterator[pa.RecordBatch], policy: Policy) -> Iterator[pa.Rec
             parents = {s.parent for s in sections}
             for i, s in enumerate(sections):
                 rows.append((record.ref, record.kind, record.title, i, s.heading, s.body, s.parent, i in parents))
-                if len(rows) >= _BATCH:
+                held += len(s.body)
+                if len(rows) >= _BATCH or held >= PIECE_BYTES:
                     yield send(rows)
-                    rows = []
+                    rows, held = [], 0
     if rows:
         yield send(rows)
 
