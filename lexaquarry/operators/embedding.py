@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.batches import pieces
 from ..functions.text import WHITE, bucket, let, tokens, trim_white
 from ..functions.vectors import norm
 
@@ -162,41 +163,45 @@ def _check(vectors: list, texts: list, dimension: int) -> list:
     return vectors
 
 
-VECTORS = "ref string, chunk_index int, embedding array<double>"
+def _with(batch, keys: list[str], embedding: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[batch.column(c) for c in keys], embedding], names=[*keys, "embedding"])
 
 
-def _embed(batches: Iterator[pa.RecordBatch], embedder: Embedder, dimension: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _embed(batches: Iterator[pa.RecordBatch], embedder: Embedder, dimension: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
         texts = batch.column("text").to_pylist()
         vectors = _check(embedder.documents(texts), texts, dimension)
-        yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("chunk_index"), pa.array(vectors, pa.list_(pa.float64()))], names=["ref", "chunk_index", "embedding"])
+        yield _with(batch, keys, pa.array(vectors, pa.list_(pa.float64())))
 
 
-def _embed_matrix(batches: Iterator[pa.RecordBatch], embedder, dimension: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def _embed_matrix(batches: Iterator[pa.RecordBatch], embedder, dimension: int, keys: list[str]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text", rows=4096):
         m = embedder.matrix(batch.column("text"))
         _check([m[0]] * len(m) if len(m) else [], range(batch.num_rows), dimension)
         offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dimension)
-        yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("chunk_index"), pa.ListArray.from_arrays(offsets, pa.array(m.ravel()))], names=["ref", "chunk_index", "embedding"])
+        yield _with(batch, keys, pa.ListArray.from_arrays(offsets, pa.array(m.ravel())))
 
 
-def _embed_whole(embedder, dimension: int) -> Callable:
+def _embed_whole(embedder, dimension: int, keys: list[str]) -> Callable:
     def of_record(key, table):
-        rows = sorted(table.to_pylist(), key=lambda r: r["chunk_index"])
-        vectors = _check(embedder.chunks(rows[0]["document"], [r["text"] for r in rows]), rows, dimension)
-        return pa.table({"ref": [r["ref"] for r in rows], "chunk_index": pa.array([r["chunk_index"] for r in rows], pa.int32()), "embedding": pa.array(vectors, pa.list_(pa.float64()))})
+        table = table.sort_by("chunk_index")
+        texts = table.column("text").to_pylist()
+        vectors = _check(embedder.chunks(table.column("document")[0].as_py(), texts), texts, dimension)
+        return table.select(keys).append_column("embedding", pa.array(vectors, pa.list_(pa.float64())))
 
     return of_record
 
 
-def embed(texts: DataFrame, embedder: Embedder, documents: DataFrame | None = None) -> DataFrame:
-    """(ref, chunk_index, embedding) of (ref, chunk_index, text); ``documents`` (ref, document) serves embedders that look
-    at whole documents."""
+def embed(texts: DataFrame, embedder: Embedder, documents: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(ref, chunk_index, embedding) of (ref, chunk_index, text), with the columns to keep between; ``documents`` (ref,
+    document) serves embedders that look at whole documents."""
+    keys = ["ref", "chunk_index", *keep]
+    schema = ", ".join([*[f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keys], "embedding array<double>"])
+    rows, settings = texts.select(*keys, "text"), {"embedder": embedder, "dimension": embedder.dimension(), "keys": keys}
     if hasattr(embedder, "chunks") and documents is not None:
-        rows = texts.select("ref", "chunk_index", "text").join(documents.select("ref", "document"), "ref")
-        return rows.groupBy("ref").applyInArrow(_embed_whole(embedder, embedder.dimension()), VECTORS)
+        return rows.join(documents.select("ref", "document"), "ref").groupBy("ref").applyInArrow(_embed_whole(**settings), schema)
     if hasattr(embedder, "matrix"):
-        return texts.select("ref", "chunk_index", "text").mapInArrow(partial(_embed_matrix, embedder=embedder, dimension=embedder.dimension()), VECTORS)
+        return rows.mapInArrow(partial(_embed_matrix, **settings), schema)
     if hasattr(embedder, "column"):
-        return texts.select("ref", "chunk_index", embedder.column(F.col("text")).alias("embedding"))
-    return texts.select("ref", "chunk_index", "text").mapInArrow(partial(_embed, embedder=embedder, dimension=embedder.dimension()), VECTORS)
+        return rows.select(*keys, embedder.column(F.col("text")).alias("embedding"))
+    return rows.mapInArrow(partial(_embed, **settings), schema)
